@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nearmesh.llm import decontaminate, topk_search, url_filter
+from nearmesh.llm import decontaminate, pii, quality, sharding, topk_search, url_filter
 from nearmesh.llm.common import read
 
 
@@ -17,19 +17,38 @@ def op3_url_filter(spark, sf_dir):
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), url_filter.rules_table(spark))
 
 
+def op4_quality_classifier(spark, sf_dir):
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op5_sharding(spark, sf_dir):
+    return sharding.assign_shards(read(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark, sf_dir):
+    return pii.pseudonymise(read(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op7_topk_search(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings")
     return topk_search.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+#: The secret of the pseudonyms; a deployment passes its own.
+PII_KEY = b"nearmesh demonstration key"
+
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_url_filter": op3_url_filter,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_sharding": op5_sharding,
     "op7_topk_search": op7_topk_search,
+    "op8_pii": op8_pii,
 }
 
 ORACLES = {
     "op2_decontaminate": decontaminate.ORACLE,
     "op3_url_filter": url_filter.ORACLE,
+    "op5_sharding": sharding.ORACLE,
     "op7_topk_search": topk_search.ORACLE,
 }
