@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nearmesh.llm import decontaminate, pii, quality, sharding, topk_search, url_filter
+from nearmesh.llm import decontaminate, mixing, near_dedup, pii, quality, secrets, sharding, topk_search, url_filter
 from nearmesh.llm.common import read
 
 
@@ -29,6 +29,18 @@ def op8_pii(spark, sf_dir):
     return pii.pseudonymise(read(spark, sf_dir, "documents"), PII_KEY)
 
 
+def op6_minhash_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op9_secret_scan(spark, sf_dir):
+    return secrets.secret_digest(secrets.scan_secrets(read(spark, sf_dir, "documents")))
+
+
+def op10_mixing(spark, sf_dir):
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 def op7_topk_search(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings")
     return topk_search.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
@@ -42,8 +54,11 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_sharding": op5_sharding,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_topk_search": op7_topk_search,
     "op8_pii": op8_pii,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES = {
@@ -51,4 +66,5 @@ ORACLES = {
     "op3_url_filter": url_filter.ORACLE,
     "op5_sharding": sharding.ORACLE,
     "op7_topk_search": topk_search.ORACLE,
+    "op10_mixing": mixing.oracle(),
 }
