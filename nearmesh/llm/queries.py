@@ -4,9 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nearmesh.llm import decontaminate, mixing, near_dedup, pii, quality, secrets, sharding, topk_search, url_filter
+from nearmesh.llm import decontaminate, mixing, near_dedup, pii, quality, secrets, sharding, token_output, topk_search, url_filter
 from nearmesh.llm.common import read
 
+#: The secret of the pseudonyms; a deployment passes its own.
+PII_KEY = b"nearmesh demonstration key"
+#: The key of the training order.
+ORDER_KEY = 20260
+
+
+def op1_token_output(spark, sf_dir):
+    return token_output.training_order(read(spark, sf_dir, "documents"), ORDER_KEY)
+
 
 def op2_decontaminate(spark, sf_dir):
     out = decontaminate.contamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -46,10 +55,8 @@ def op7_topk_search(spark, sf_dir):
     return topk_search.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
-#: The secret of the pseudonyms; a deployment passes its own.
-PII_KEY = b"nearmesh demonstration key"
-
 QUERIES = {
+    "op1_token_output": op1_token_output,
     "op2_decontaminate": op2_decontaminate,
     "op3_url_filter": op3_url_filter,
     "op4_quality_classifier": op4_quality_classifier,
