@@ -27,6 +27,7 @@ from __future__ import annotations
 import base64
 import re
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Where a cut before a space could split a run of white space.
 _RUNS = re.compile(r"\s \s|  ")
-_CACHED = 400_000
+_CACHED = 700_000
 _loaded: dict[str, "Tokenizer"] = {}
 
 
@@ -63,7 +64,7 @@ class Tokenizer:
         self.cache = _Pieces(self)
 
     def pack(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), self.dtype).tobytes()
+        return array("H" if self.dtype.itemsize == 2 else "I", self.encoding.encode_ordinary(text)).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of a text with the end-of-text id."""
