@@ -12,10 +12,12 @@ the connected components of the links.
 Scale. Texts with equal words are one node first (combined map-side), so a group of
 exact copies costs one node whatever its size. Within a band bucket the first node
 is compared to the others; no pairs of others are made. After components are
-known, only buckets that still hold several components go on, with the next 8, 32,
-... nodes as hubs against members of other components, until every pair of such a
-bucket is settled: so a group of near copies costs about one comparison per node
-and bucket hub, and no link that shares a bucket is lost. Components are found by
+known, the buckets whose members still have several labels are joined to clusters.
+The nodes of a cluster meet once, in cells of at most two blocks of about CELL
+nodes, where every pair of different labels is compared exactly through the
+postings of its shingles, and only links that join labels are given out. So no
+link that shares a bucket is lost, and rows stay in proportion to nodes. A cluster
+of g nodes is read g / CELL times; the blocks bound what a task holds. Components are found by
 minimum labels with pointer jumping in DataFrames; nothing per document reaches
 the driver. Each step is a table in the shared folder, so lost executors repeat
 one step. At similarity 0.8 a pair misses all bands with probability 1e-7.
@@ -43,6 +45,8 @@ SHINGLE = 5
 BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
 CHUNK_BYTES = 1 << 20
+#: Nodes of a block of a cluster.
+CELL = 2048
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(64, _U(0x100000001B3)), dtype=_U)
@@ -234,30 +238,91 @@ def _nodes_and_rows(docs: DataFrame):
     return rows.select("doc_id", "node"), write_table(nodes, "nodes")
 
 
-def _labels(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame | None:
-    """(node, label) of all nodes that a link touches; None without links."""
+def _compared(threshold: float):
+    """Streams of (cluster, x, y, block, node, label, text), sorted by cell (cluster, x, y): links (a, b) that join labels.
+
+    A cell holds at most two blocks of a cluster; overlaps are counted through the
+    postings of its shingles, for every node outside the cell's largest label.
+    """
+
+    def links(x: int, y: int, rows: list[tuple]):
+        seen: set[bytes] = set()
+        rows = [r for r in rows if r[1] not in seen and not seen.add(r[1])]
+        sets = [r[3] for r in rows]
+        if len(rows) < 2:
+            return []
+        sizes = np.array([len(e) for e in sets])
+        elems, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(elems, kind="stable")
+        elems, owner = elems[order], owner[order]
+        names, label = np.unique(np.array([r[2].hex() for r in rows]), return_inverse=True)
+        block = np.array([r[0] for r in rows])
+        root = list(range(len(names)))
+
+        def find(i):
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        largest, out = np.bincount(label).argmax(), []
+        for i in np.flatnonzero(label != largest):
+            lo, hi = np.searchsorted(elems, sets[i]), np.searchsorted(elems, sets[i], side="right")
+            n = hi - lo
+            at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            both = np.bincount(owner[at], minlength=len(rows))
+            near = (both >= threshold * (sizes[i] + sizes - both) - 1e-9) & (label != label[i])
+            if x != y:
+                near &= block != block[i]
+            for j in np.flatnonzero(near):
+                p, q = find(label[i]), find(label[j])
+                if p != q:
+                    root[p] = q
+                    out.append((rows[i][1], rows[j][1]))
+        return out
+
+    def run(batches):
+        cell, rows = None, []
+        for batch in batches:
+            found = []
+            for cluster, x, y, block, node, label, text in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if (cluster, x, y) != cell:
+                    found += links(*cell[1:], rows) if cell else []
+                    cell, rows = (cluster, x, y), []
+                if node_of(text) == node:  # else another text under a repeated id
+                    rows.append((block, node, label, shingle_set(text)))
+            yield _pairs(found)
+        yield _pairs(links(*cell[1:], rows) if cell else [])
+
+    return run
+
+
+def _labels(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(node, label) of all nodes that a link touches."""
     by_key = Window.partitionBy("key").orderBy("node")
-    members = nodes.select("node", F.explode("bands").alias("key")).withColumn("rn", F.row_number().over(by_key) - 1)
-    members = members.withColumn("hub", F.first("node").over(by_key.rowsBetween(Window.unboundedPreceding, 0))).where("rn > 0")
-    members = write_table(members.select("key", "rn", "hub", "node"), "members")  # buckets of two or more, without their hubs
+    members = nodes.select("node", F.explode("bands").alias("key")).withColumn("rn", F.row_number().over(by_key))
+    members = members.withColumn("hub", F.first("node").over(by_key.rowsBetween(Window.unboundedPreceding, 0))).where("rn > 1")
+    members = write_table(members.select("key", "hub", "node"), "members")  # buckets of two or more, without their hubs
     pairs = write_table(members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links, lo, width = _links(docs, nodes, pairs, threshold), 1, 8
+    links = _links(docs, nodes, pairs, threshold)
     labels = components(links)
-    while True:
-        # Settled so far: every pair whose first node has a rank below lo.
-        open_ = members.where(F.col("rn") >= lo).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = open_.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        left = write_table(open_.join(mixed, "key", "left_semi").select("key", "rn", "node", "label"), "open")
-        hubs = left.where(F.col("rn") < lo + width).select("key", F.col("rn").alias("r"), F.col("node").alias("a"), F.col("label").alias("l"))
-        new = left.join(hubs, "key").where((F.col("rn") > F.col("r")) & (F.col("label") != F.col("l"))).select("a", F.col("node").alias("b")).distinct()
-        new = write_table(new, "pairs")
-        if new.isEmpty():
-            if left.isEmpty():
-                return labels
-        else:
-            links = links.union(_links(docs, nodes, new, threshold))
-            labels = components(links)
-        lo, width = lo + width, width * 4
+    # Hubs are settled. A bucket whose other members have several labels is not: its nodes meet in a cluster.
+    named = members.join(labels, "node", "left").select("key", "hub", "node", F.coalesce("label", "node").alias("label"))
+    open_ = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    edges = write_table(members.join(open_, "key", "left_semi").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "open")
+    if edges.isEmpty():
+        return labels
+    clusters = components(edges).select("node", F.col("label").alias("cluster"))
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / CELL).cast("int").alias("n"))
+    placed = clusters.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    placed = placed.select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node")
+    placed = placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = placed.join(nodes.select("node", "rep"), "node").where("rep is not null")
+    cells = placed.join(docs, placed["rep"] == docs["id"]).select("cluster", "x", "y", "block", "node", "label", "text")
+    cells = cells.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "node")
+    more = write_table(cells.mapInArrow(_compared(threshold), "a binary, b binary"), "links")
+    return components(links.union(more))
 
 
 def _classes(docs: DataFrame, doc_id: str, text: str, threshold: float):
