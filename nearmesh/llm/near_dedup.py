@@ -219,7 +219,12 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node in a link (a, b): label is the smallest node of its component."""
-    both = write_table(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+    # One small-star step: every node points to its least neighbour, and so do its other lesser neighbours.
+    down = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    star = down.groupBy("u").agg(F.array_sort(F.collect_set("v")).alias("vs"))
+    stars = star.select(F.explode(F.array_union(F.array("u"), "vs")).alias("a"), F.element_at("vs", 1).alias("b")).where("a <> b").distinct()
+    stars = write_table(stars, "stars")
+    both = write_table(stars.union(stars.select("b", "a")), "edges")
     labels = write_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("n")).agg(F.min("label").alias("near"))
