@@ -1 +1 @@
-
+"""The workload has no streams: everything here is a batch operator."""
