@@ -104,7 +104,8 @@ def read_npy(spark: SparkSession, path: str, rows_per_task: int = 100_000) -> Da
     with store.open_input_file(name) as f:
         head = io.BytesIO(f.read(4096))
         version = np.lib.format.read_magic(head)
-        shape, fortran, dtype = np.lib.format._read_array_header(head, version)
+        header = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+        shape, fortran, dtype = header(head)
     if len(shape) != 2 or fortran or dtype.kind not in "iu":
         raise ValueError(f"{path}: not a two-dimensional integer array")
     wide = _scan(spark, path, 0, shape[0], rows_per_task, head.tell(), shape[1], dtype, "id long, nb array<bigint>", "nb")
