@@ -11,7 +11,8 @@ the connected components of the links.
 
 Scale. Texts with equal words are one node first (combined map-side), so a group of
 exact copies costs one node whatever its size. Within a band bucket the first node
-is compared to the others; no pairs of others are made. After components are
+is compared to the others; no pairs of others are made. A bucket too large for one
+task stays where its rows are and gets its first node by broadcast. After components are
 known, the buckets whose members still have several labels are joined to clusters.
 The nodes of a cluster meet once, in cells of at most two blocks of about CELL
 nodes, where every pair of different labels is compared exactly through the
@@ -20,7 +21,8 @@ link that shares a bucket is lost, and rows stay in proportion to nodes. A clust
 of g nodes is read g / CELL times; the blocks bound what a task holds. Components are found by
 minimum labels with pointer jumping in DataFrames; nothing per document reaches
 the driver. Each step is a table in the shared folder, so lost executors repeat
-one step. At similarity 0.8 a pair misses all bands with probability 1e-7.
+one step. A pair of probability Jaccard 0.8 misses all bands with probability 1e-7;
+where repeated shingles make that lower than the Jaccard similarity, misses are likelier.
 
 Defined cases: a text with no words (null, empty) is a class of its own; one with
 fewer than five words has one shingle of all of them; rows whose id is null only
@@ -47,6 +49,8 @@ REGISTERS = BANDS * ROWS
 CHUNK_BYTES = 1 << 20
 #: Nodes of a block of a cluster.
 CELL = 2048
+#: Bound on the buckets that are dealt with as hot.
+HOT_KEYS = 10_000
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(64, _U(0x100000001B3)), dtype=_U)
@@ -302,12 +306,26 @@ def _compared(threshold: float):
     return run
 
 
+def _members(nodes: DataFrame) -> DataFrame:
+    """(key, hub, node): every node of a band bucket beside the bucket's least node, its hub.
+
+    A bucket is hot above CELL nodes and 1 / HOT_KEYS of all (key, node) rows, so fewer
+    than HOT_KEYS are. Hot hubs are minima combined map-side, sent to the rows of their
+    buckets; only the rows of the other buckets meet in a task.
+    """
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    total = nodes.agg(F.sum(F.size("bands"))).first()[0] or 0
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub"))
+    hot = write_table(sizes.where(F.col("n") > max(CELL, total // HOT_KEYS)).select("key", "hub"), "hot")
+    by_key = Window.partitionBy("key").orderBy("node")
+    cold = keyed.join(F.broadcast(hot.select("key")), "key", "left_anti").withColumn("rn", F.row_number().over(by_key))
+    cold = cold.withColumn("hub", F.first("node").over(by_key.rowsBetween(Window.unboundedPreceding, 0))).where("rn > 1")
+    return cold.select("key", "hub", "node").union(keyed.join(F.broadcast(hot), "key").where("node <> hub").select("key", "hub", "node"))
+
+
 def _labels(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """(node, label) of all nodes that a link touches."""
-    by_key = Window.partitionBy("key").orderBy("node")
-    members = nodes.select("node", F.explode("bands").alias("key")).withColumn("rn", F.row_number().over(by_key))
-    members = members.withColumn("hub", F.first("node").over(by_key.rowsBetween(Window.unboundedPreceding, 0))).where("rn > 1")
-    members = write_table(members.select("key", "hub", "node"), "members")  # buckets of two or more, without their hubs
+    members = write_table(_members(nodes), "members")  # buckets of two or more, without their hubs
     pairs = write_table(members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = _links(docs, nodes, pairs, threshold)
     labels = components(links)

@@ -190,6 +190,14 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert near_dedup.deduplicated(made(spark, rows)).count() == len(set(want.values()))
 
 
+def test_hot_buckets_have_the_same_members(spark, docs, monkeypatch):
+    _, nodes = near_dedup._nodes_and_rows(docs.select(F.col("doc_id").alias("id"), "text"))
+    cold = sorted(map(tuple, near_dedup._members(nodes).collect()))
+    monkeypatch.setattr(near_dedup, "CELL", 1)
+    monkeypatch.setattr(near_dedup, "HOT_KEYS", 10**9)
+    assert cold and sorted(map(tuple, near_dedup._members(nodes).collect())) == cold
+
+
 def test_registers_estimate_probability_jaccard():
     rng = np.random.default_rng(0)
     e = rng.integers(1, 2**62, 300).astype(np.uint64)
