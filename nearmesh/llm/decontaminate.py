@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nearmesh.llm.batches import slices
 from nearmesh.llm.common import WORD_BYTES, fresh, words_of
 
 WINDOW = 13
@@ -242,7 +243,7 @@ def _scan(docs, benchmark, item_id, item_text, window, block_words, text, names=
     column = docs.columns.index(text)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, column):
             texts = batch.column(column).to_pylist()
             cols: list[list] = [[], [], [], [], [], []]
             for part in _shards(texts):
@@ -283,7 +284,7 @@ def longest_matches(
     sent = [docs.sparkSession.sparkContext.broadcast(t) for t in _blocks(benchmark, item_id, item_text, block_words, window)]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = [(n, p, ln, ids[part.start + d], at) for part in _shards(texts) for s in sent for n, p, ln, d, at in Shard(texts[part], s.value).longest()]
             cols = list(zip(*rows)) or [[]] * 5

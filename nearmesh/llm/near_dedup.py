@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearmesh.llm.batches import slices
 from nearmesh.llm.common import WORD_BYTES, fresh, words_of, write_table
 from nearmesh.llm.feistel import mix64
 
@@ -158,7 +159,7 @@ def _band_chunk(texts, begin: int, end: int, out) -> None:
 
 
 def _signed(batches):
-    for batch in batches:
+    for batch in slices(batches, 1):
         texts = batch.column(1).to_pylist()
         nodes = [node_of(t) for t in texts]
         keys: list = [None] * len(texts)
@@ -185,7 +186,7 @@ def _verify(threshold: float):
             both = len(np.intersect1d(x, y, assume_unique=True))
             return both >= threshold * (len(x) + len(y) - both) - 1e-9
 
-        for batch in batches:
+        for batch in slices(batches, 3):
             out = []
             for a, b, node, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if (a, b) != pair:
@@ -292,7 +293,7 @@ def _compared(threshold: float):
 
     def run(batches):
         cell, rows = None, []
-        for batch in batches:
+        for batch in slices(batches, 6):
             found = []
             for cluster, x, y, block, node, label, text in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 if (cluster, x, y) != cell:

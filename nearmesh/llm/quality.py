@@ -28,11 +28,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nearmesh.llm.batches import cuts
 from nearmesh.llm.common import WORD_BYTES, fresh, write_table
 
 NO_WORDS = -30.0
@@ -101,7 +102,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known = labels.select(F.col("doc_id").alias("i"), F.col(label).alias("y")).where("i is not null and y is not null")
     known = known.groupBy("i").agg(F.min("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("i"), "i").limit(sample_docs)  # a bounded table
-    vector = F.pandas_udf(lambda s: pd.Series([features(t) for t in s]), T.ArrayType(T.DoubleType()))
+
+    def featured(texts: pa.Array) -> pa.Array:
+        return pa.array([features(t) for a, n in cuts(texts) for t in texts.slice(a, n).to_pylist()], pa.list_(pa.float64()))
+
+    vector = F.arrow_udf(featured, T.ArrayType(T.DoubleType()))
     rows = (
         docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
         .join(F.broadcast(chosen), F.col("d") == F.col("i"))
@@ -120,18 +125,18 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def evidence(model):
     """UDF: logit of a text under ``model``."""
 
-    def score(texts: pd.Series) -> pd.Series:
+    def score(texts: pa.Array) -> pa.Array:
         out = np.zeros(len(texts))
-        for i, text in enumerate(texts):
+        for i, text in enumerate(t for a, n in cuts(texts) for t in texts.slice(a, n).to_pylist()):
             x = features(text)
             if x is None:
                 out[i] = NO_WORDS
             elif model is not None:
                 w, mean, scale = model
                 out[i] = float(np.clip((np.array(x) - mean) / scale, -8, 8) @ w[:-1] + w[-1])
-        return pd.Series(np.clip(out, NO_WORDS, -NO_WORDS))
+        return pa.array(np.clip(out, NO_WORDS, -NO_WORDS))
 
-    return F.pandas_udf(score, T.DoubleType())
+    return F.arrow_udf(score, T.DoubleType())
 
 
 def _sigmoid(c):

@@ -35,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearmesh.llm.batches import slices
 from nearmesh.llm.common import write_table
 from nearmesh.llm.feistel import permute
 
@@ -103,7 +104,7 @@ def token_table(docs: DataFrame, vocabulary: str, seq_len: int, doc_id: str = "d
     def run(batches):
         tokenizer = _tokenizer(vocabulary, sent.value)
         width, task, before = tokenizer.dtype.itemsize * seq_len, TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches, 1):
             ids = [tokenizer.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
             counts = np.array([-(-len(x) // width) for x in ids], dtype=np.int64)
             first = before + np.cumsum(counts) - counts
@@ -139,7 +140,7 @@ def training_order(
 
     def run(batches):
         known, offset = sent.value
-        for batch in batches:
+        for batch in slices(batches, 4):
             task, first, n_seq = (np.asarray(batch.column(i), dtype=np.int64) for i in (0, 1, 3))
             start = offset[np.searchsorted(known, task)] + first
             seq = np.arange(int(n_seq.sum())) - np.repeat(np.cumsum(n_seq) - n_seq, n_seq)
