@@ -136,7 +136,8 @@ def evidence(model):
                 out[i] = float(np.clip((np.array(x) - mean) / scale, -8, 8) @ w[:-1] + w[-1])
         return pa.array(np.clip(out, NO_WORDS, -NO_WORDS))
 
-    return F.arrow_udf(score, T.DoubleType())
+    # Not deterministic to the optimizer: it would copy the scoring below filters on the score.
+    return F.arrow_udf(score, T.DoubleType()).asNondeterministic()
 
 
 def _sigmoid(c):
