@@ -7,6 +7,11 @@ its rate; rates are scaled so that the largest is 1, and a document is sampled
 if a uniform number made from its id is below its cell's rate. So expected tokens
 meet all three marginals, and the same document is always decided alike.
 
+A sparse cell can have a rate far above all others. Where the largest rate of 1
+would keep less than the share ``least`` of the tokens that have a target, all
+rates are raised alike until that share is kept, and cut at 1: a cell cut at 1
+is kept whole and falls short of its target, the others share what it lacks.
+
 The documents table has no topic; without a topic column the length class of the
 document (short, medium, long by words) stands in. Targets are tables (value,
 share); without one a marginal is tempered: share ** alpha of the corpus.
@@ -34,6 +39,8 @@ from nearmesh.llm.common import fresh, write_table
 WORD = "[^ \\n\\t\\r\\f]+"
 ALPHAS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 ROUNDS = 12
+#: Least share of the tokens that is kept in expectation, however sparse a cell.
+LEAST = 0.25
 
 
 def n_words(text):
@@ -68,7 +75,26 @@ def _targets(cells: DataFrame, dim: str, targets: DataFrame | None) -> DataFrame
     return sums.select(F.col("value").alias(f"{dim}_v"), (F.col("share") / F.sum("share").over(everything)).alias(f"{dim}_target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, one_task_cells: int = 100_000) -> DataFrame:
+def _full_rate(cells: DataFrame, least: float) -> float:
+    """The w / t that gets the rate 1: the largest, or the lower one at which ``least`` of the tokens of weighted cells are kept.
+
+    Kept tokens are concave in the inverse and linear between cells, so Newton steps from
+    the largest end at the exact value; each is one aggregate, most tables need none.
+    """
+    ratio = F.col("w") / F.col("t")
+    cells = cells.where("w > 0")
+    full, tokens, rest = cells.agg(F.max(ratio), F.sum("t"), F.sum("w")).first()
+    if full is None:
+        return 1.0
+    capped = 0.0
+    while capped + rest / full < least * tokens * (1 - 1e-9):
+        full = rest / (least * tokens - capped)
+        over = ratio >= F.lit(full)
+        capped, rest = cells.agg(F.sum(F.when(over, F.col("t")).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("w")))).first()
+    return full
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, one_task_cells: int = 100_000, least: float = LEAST) -> DataFrame:
     """Cells with the raked weight w (summing to 1 up to convergence) and the rate (0 to 1)."""
     cells = write_table(cells, "cells")
     small = cells.count() <= one_task_cells
@@ -84,8 +110,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
                 total = F.sum("w").over(Window.partitionBy(dim))
                 out = out.withColumn("w", F.when(total > 0, F.col("w") * F.col(f"{dim}_target") / total).otherwise(0.0))
         out = write_table(out, "raked")
-    most = out.agg(F.max(F.col("w") / F.col("t"))).first()[0] or 1.0
-    return out.select("source", "lang", "topic", "t", "w", (F.col("w") / F.col("t") / F.lit(most)).alias("rate"))
+    full = _full_rate(out, least)
+    return out.select("source", "lang", "topic", "t", "w", F.least(F.lit(1.0), F.col("w") / F.col("t") / F.lit(full)).alias("rate"))
 
 
 def _with_keys(docs: DataFrame, text: str, source: str, lang: str, topic: str | None) -> tuple[DataFrame, list[str]]:
@@ -104,25 +130,25 @@ def _meet(rows: DataFrame, keys: list[str], cells: DataFrame, one_task_cells: in
 
 def mix(
     docs: DataFrame, targets: dict[str, DataFrame] | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-    lang: str = "lang", topic: str | None = None, rounds: int = ROUNDS, one_task_cells: int = 100_000,
+    lang: str = "lang", topic: str | None = None, rounds: int = ROUNDS, one_task_cells: int = 100_000, least: float = LEAST,
 ) -> DataFrame:
     """Per row: doc_id, source, lang, topic, n_tokens, rate, sampled."""
     keyed, k = _with_keys(docs, text, source, lang, topic)
     rows = keyed.select(F.col(doc_id).alias("doc_id"), *(F.col(a).alias(b) for a, b in zip(k, ("n_tokens", "source", "lang", "topic"))))
     rows = write_table(rows, "words")
-    out = _meet(rows, ["source", "lang", "topic"], rake(cell_table(rows), targets, rounds, one_task_cells), one_task_cells)
+    out = _meet(rows, ["source", "lang", "topic"], rake(cell_table(rows), targets, rounds, one_task_cells, least), one_task_cells)
     rate = F.when(F.col("n_tokens") > 0, F.coalesce("c_rate", F.lit(0.0))).otherwise(0.0)
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round(rate, 6).alias("rate"), (uniform(F.col("doc_id")) < rate).alias("sampled"))
 
 
 def mixed(
     docs: DataFrame, targets: dict[str, DataFrame] | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-    lang: str = "lang", topic: str | None = None, rounds: int = ROUNDS, one_task_cells: int = 100_000,
+    lang: str = "lang", topic: str | None = None, rounds: int = ROUNDS, one_task_cells: int = 100_000, least: float = LEAST,
 ) -> DataFrame:
     """The sampled rows of ``docs``, with the columns of ``docs``; texts are not shuffled while the cells are few."""
     keyed, k = _with_keys(docs, text, source, lang, topic)
     sums = keyed.select(*(F.col(a).alias(b) for a, b in zip(k, ("n_tokens", "source", "lang", "topic"))))
-    out = _meet(keyed, k[1:], rake(cell_table(sums), targets, rounds, one_task_cells), one_task_cells)
+    out = _meet(keyed, k[1:], rake(cell_table(sums), targets, rounds, one_task_cells, least), one_task_cells)
     return out.where((F.col(k[0]) > 0) & (uniform(keyed[doc_id]) < F.coalesce("c_rate", F.lit(0.0)))).select(*(keyed[c] for c in docs.columns))
 
 

@@ -276,6 +276,34 @@ def test_raked_weights_meet_targets(spark):
     assert max(r.rate for r in out) == pytest.approx(1.0)
 
 
+def test_one_stray_source_does_not_empty_the_mix(spark):
+    rows = [(s, g, "long", 1e6 * i) for i, (s, g) in enumerate(((s, g) for s in "abc" for g in "xy"), 1)]
+    kind = "source string, lang string, topic string, t double"
+    whole = {(r.source, r.lang): r.rate for r in mixing.rake(spark.createDataFrame(rows, kind)).collect()}
+    for stray in (("stray", "x", "short", 20.0), (None, "x", "short", 20.0), ("stray", None, None, 1.0)):
+        out = mixing.rake(spark.createDataFrame([*rows, stray], kind)).collect()
+        assert sum(r.rate * r.t for r in out) >= 0.249 * sum(r.t for r in out)
+        assert all(0 < r.rate <= 1 for r in out)
+        # The stray cell is kept whole; the others keep their proportions but for what raking moves.
+        rate = {(r.source, r.lang): r.rate for r in out}
+        assert rate[stray[:2]] == 1.0
+        most = max(rate[k] for k in whole)
+        assert all(rate[k] / most == pytest.approx(whole[k], abs=0.05) for k in whole)
+
+
+def test_mix_equals_its_sql_and_survives_a_stray_document(spark, docs):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    want = {r[0]: r[1:] for r in con.execute(f"select doc_id, rate, sampled from ({mixing.oracle()})").fetchall()}
+    got = {r.doc_id: (r.rate, r.sampled) for r in mixing.mix(docs).collect()}
+    assert got.keys() == want.keys() and all(got[i][1] == want[i][1] and abs(got[i][0] - want[i][0]) < 2e-6 for i in want)
+    one = spark.createDataFrame([(10**6, "word", "en", "stray", 4)], DOCS)
+    out = mixing.mix(docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(one))
+    assert out.agg(F.sum(F.col("rate") * F.col("n_tokens")) / F.sum("n_tokens")).first()[0] >= 0.24
+
+
 # all
 def test_odd_inputs_have_results(spark, odd, labels):
     n, bench = odd.count(), spark.createDataFrame([(1, None), (None, "a b"), (2, "two three")], "item_id long, text string")
