@@ -144,6 +144,33 @@ def test_lloyd_keeps_empty_centres(spark):
     assert {r.bucket_id: r.vec for r in moved.collect()} == {0: [1.0], 1: [100.0]}
 
 
+def test_lloyd_step_query_returns_all_dimensions(spark):
+    import duckdb
+
+    every = vectors(spark, SF)
+    asg = {r.id: r.bucket_id for r in catalogue.QUERIES["nearest_centroid"](spark, SF).collect()}
+    cent = {r.bucket_id: np.array(r.vec, float) for r in cluster.sample_centroids(every, catalogue.BUCKETS).collect()}
+    rows = {b: [] for b in cent}
+    for r in every.collect():
+        rows[asg[r.id]].append(r.vec)
+    want = {(b, d): x for b in cent for d, x in enumerate(np.mean(np.array(rows[b], float), axis=0) if rows[b] else cent[b])}
+    got = {(r.bucket_id, r.dim): r.x for r in catalogue.QUERIES["lloyd_step"](spark, SF).collect()}
+    assert len(want) == catalogue.BUCKETS * 64 and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    # The SQL states the first four dimensions only; they agree.
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{SF}/embeddings.parquet')")
+    assert all(abs(got[b, d] - x) < 2e-6 for b, d, x in con.execute(f"select bucket_id, dim, x from ({catalogue.ORACLES['lloyd_step']})").fetchall())
+
+
+def test_vec_mat_query_answers_every_twentieth_id(spark):
+    every = {r.id: np.array(r.vec, float) for r in vectors(spark, SF).collect()}
+    got = {(r.src, r.dst): r.dist for r in catalogue.QUERIES["vec_mat_distances"](spark, SF).collect()}
+    asked = [i for i in every if i % 20 == 0]
+    assert len(got) == len(asked) * len(every) and {a for a, _ in got} == set(asked)
+    assert all(abs(got[a, b] - ((every[a] - every[b]) ** 2).sum()) < 2e-6 for a in asked for b in every)
+
+
 def test_rebalance_reaches_the_target(v):
     cent = cluster.sample_centroids(v, 6)
     top = cluster.top2(v, cent).cache()
