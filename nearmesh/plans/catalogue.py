@@ -185,7 +185,7 @@ _RUN = {
     "kmeans_pp": lambda s: cluster.kmeans_pp(s.v, BUCKETS).select("bucket_id", F.get("vec", 0).alias("x0")),
     "two_choice_assign": lambda s: cluster.two_choice_assign(cluster.top2(s.v, s.cent())),
     "lloyd": lambda s: cluster.lloyd(s.v, s.cent(), 3)[0],
-    "nn_descent": lambda s: descent.nn_descent(s.v, s.v.count(), K, 3),
+    "nn_descent": lambda s: descent.converged_descent(s.v, s.v.count(), K),
     "ef_search": _ef,
     "build_graph": lambda s: pipeline.build_graph(s.v, BUCKETS, 4, 16, K),
 }

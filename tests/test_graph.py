@@ -108,6 +108,25 @@ def test_nn_descent_reaches_recall(v):
     assert search.recall(p, t, 8).first().mean_overlap >= 0.9
 
 
+def test_nn_descent_query_reaches_recall_on_the_whole_table(spark):
+    p = _as_found(catalogue.QUERIES["nn_descent"](spark, SF))
+    t = _as_found(knn.exact_knn(vectors(spark, SF), catalogue.K))
+    got = search.recall(p, t, catalogue.K).first()
+    assert got.queries == 500 and got.mean_overlap >= 0.9
+
+
+def _as_found(edges):
+    return edges.select(F.col("src").alias("qid"), "rank", F.col("dst").alias("id"))
+
+
+def test_converged_descent_on_few_rows_and_ties(spark):
+    one = table(spark, [(0, [0.0])], "id long, vec array<float>")
+    assert descent.converged_descent(one, 1, 3).count() == 0
+    same = table(spark, [(i, [1.0]) for i in range(40)], "id long, vec array<float>")
+    rows = descent.converged_descent(same, 40, 3).collect()
+    assert len(rows) == 120 and all(r.dist == 0.0 and r.src != r.dst for r in rows)
+
+
 def test_reorder_then_translate_is_identity(v):
     graph = knn.exact_knn(v, 4).cache()
     asg = v.select("id", (F.col("id") * 7 % 5).alias("bucket_id"))
