@@ -128,7 +128,7 @@ def _belady(s):
 
 
 def _ef(s):
-    q = s.v.where("id % 25 = 0")
+    q = s.v.where("id % 20 = 0")
     return search.ef_search(q, s.v, s.knn(16), 10, 64)
 
 

@@ -190,6 +190,11 @@ def test_vec_mat_query_answers_every_twentieth_id(spark):
     assert all(abs(got[a, b] - ((every[a] - every[b]) ** 2).sum()) < 2e-6 for a in asked for b in every)
 
 
+def test_ef_search_query_answers_every_twentieth_id(spark):
+    got = {r.qid for r in catalogue.QUERIES["ef_search"](spark, SF).select("qid").distinct().collect()}
+    assert got == {r.id for r in vectors(spark, SF).select("id").collect() if r.id % 20 == 0}
+
+
 def test_rebalance_reaches_the_target(v):
     cent = cluster.sample_centroids(v, 6)
     top = cluster.top2(v, cent).cache()
