@@ -49,8 +49,12 @@ class Steps:
         cent = self.cent()
         return cluster.bucket_sizes(self.asg(cent), cent)
 
-    def damaged(self):
-        return self.knn().withColumn("dst", F.when(F.col("rank") == 2, -1).when(F.col("rank") == 3, F.col("src")).when(F.col("rank") == 4, 1000000).otherwise(F.col("dst")))
+    def n(self):
+        """Ids are below this: the largest one plus 1."""
+        return (self.v.agg(F.max("id")).first()[0] or 0) + 1
+
+    def damaged(self, n):
+        return self.knn().withColumn("dst", F.when(F.col("rank") == 2, -1).when(F.col("rank") == 3, F.col("src")).when(F.col("rank") == 4, F.lit(n)).otherwise(F.col("dst")))
 
     def order(self, cent):
         return cent.select(F.col("bucket_id").cast("int").alias("pos"), "bucket_id")
@@ -115,6 +119,22 @@ def _windowed(s):
     return prune.detour_prune(prune.windowed_rows(s.knn(), asg, vis), 4)
 
 
+def _sanitized(s, fill=False):
+    n = s.n()
+    return edges.sanitize(s.damaged(n), n, fill).select("src", "rank", "dst")
+
+
+def _defects(s):
+    n = s.n()
+    return edges.defects(s.damaged(n), n)
+
+
+def _wide(s):
+    n = s.n()
+    wide = edges.to_wide(s.damaged(n).where(F.col("dst").between(0, n - 1)), s.v, K)
+    return wide.select("id", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))
+
+
 def _belady(s):
     cent = s.cent()
     graph = knn.centroid_knn(cent, NEAR)
@@ -154,13 +174,13 @@ _RUN = {
     "merge_rounds": lambda s: edges.merge_rounds([s.bucketed(4)[0], s.knn(4).where("rank >= 2")], 5),
     "reverse_topk": lambda s: edges.reverse_topk(s.knn(), K),
     "reverse_merge": lambda s: edges.protected_reverse_merge(s.knn(), K),
-    "sanitize_drop": lambda s: edges.sanitize(s.damaged(), 100000).select("src", "rank", "dst"),
-    "sanitize_fill": lambda s: edges.sanitize(s.damaged(), 100000, fill=True).select("src", "rank", "dst"),
+    "sanitize_drop": _sanitized,
+    "sanitize_fill": lambda s: _sanitized(s, fill=True),
     "sort_rows": lambda s: edges.sort_rows(s.knn().withColumn("rank", 7 - F.col("rank"))),
-    "graph_defects": lambda s: edges.defects(s.damaged(), 100000),
-    "degree_stats": lambda s: edges.degree_stats(s.damaged()),
+    "graph_defects": _defects,
+    "degree_stats": lambda s: edges.degree_stats(s.damaged(s.n())),
     "chunk_ratio": lambda s: edges.chunk_ratio(s.knn(), [0, 100, 250]),
-    "wide_graph": lambda s: edges.to_wide(s.damaged().where("dst between 0 and 100000"), s.v, K).select("id", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours")),
+    "wide_graph": _wide,
     "detour_counts": lambda s: prune.detour_counts(s.knn()).select("src", "rank", "dst", "detour"),
     "detour_prune": lambda s: prune.detour_prune(s.knn(), 4).select("src", "rank", "dst", "detour"),
     "detour_prune_windowed": lambda s: _windowed(s).select("src", "rank", "dst", "detour", "seen"),

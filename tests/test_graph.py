@@ -195,6 +195,24 @@ def test_ef_search_query_answers_every_twentieth_id(spark):
     assert got == {r.id for r in vectors(spark, SF).select("id").collect() if r.id % 20 == 0}
 
 
+def test_ids_beyond_100000_are_in_range(spark, tmp_path):
+    rows = [(999_980 + i, [float(i), float(i * i % 7)], 0) for i in range(40)]
+    table(spark, rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    true = {(r.src, r.rank, r.dst) for r in knn.exact_knn(vectors(spark, str(tmp_path)), 8).collect() if r.rank not in (2, 3, 4)}
+    assert {(r.src, r.rank, r.dst) for r in run("sanitize_drop")} == true
+    fill = run("sanitize_fill")
+    assert len(fill) == 320 and true <= {(r.src, r.rank, r.dst) for r in fill} and all(r.dst in range(999_980, 1_000_020) and r.dst != r.src for r in fill)
+    assert run("graph_defects")[0].out_of_range == 80
+    # A row's self edge is in range, so six of its eight neighbours stay.
+    assert all(r.neighbours.count("-1") == 2 for r in run("wide_graph"))
+
+
+@pytest.mark.parametrize("name", ["sanitize_drop", "sanitize_fill", "graph_defects", "degree_stats", "wide_graph"])
+def test_damaged_graphs_against_sql(spark, name):
+    test_against_sql(spark, name)
+
+
 def test_rebalance_reaches_the_target(v):
     cent = cluster.sample_centroids(v, 6)
     top = cluster.top2(v, cent).cache()
