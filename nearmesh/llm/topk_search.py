@@ -12,9 +12,12 @@ Scale: candidates are never shuffled, only k rows per query and task are. Memory
 in a task is queries_per_block * candidates_per_block * 8 bytes. The number of
 broadcasts grows with the query set, the size of each does not.
 
-Defined cases: a vector that is null, holds a null or a non-finite component, or
-one whose weight exceeds 2**31 (a product would leave the long range) takes no
-part; missing terms of shorter vectors weigh 0; rows that share the query's id
+Scores are exact: rows whose products could leave the long range are scored with
+Python integers, the others with longs. A selected score outside the long range is
+an error (also one that only a task selects, from few candidates).
+
+Defined cases: a vector that is null or holds a null or a non-finite component
+takes no part; missing terms of shorter vectors weigh 0; rows that share the query's id
 are its own and never returned; repeated query rows are answered each; repeated
 candidate rows count each; null ids take no part; ties go to the smaller id.
 """
@@ -27,11 +30,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _OUT = "qn long, query_id long, vec_id long, score long"
-_TOO_LARGE = 2.0**31
+#: Below every score of finite doubles.
+_LOWEST = -(1 << 4000)
 
 
 def _weights(ids: pa.Array, vectors: pa.ChunkedArray | pa.Array, scale: int):
-    """(ids, dense integer rows) of the usable vectors, rows padded with 0."""
+    """(ids, dense integer rows) of the usable vectors, rows padded with 0; Python integers where a weight leaves the long range."""
     vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
     n = len(vectors)
     values = vectors.flatten()
@@ -39,20 +43,39 @@ def _weights(ids: pa.Array, vectors: pa.ChunkedArray | pa.Array, scale: int):
     x = np.asarray(values.cast(pa.float64()).fill_null(float("nan")), dtype=np.float64)
     with np.errstate(invalid="ignore", over="ignore"):
         w = np.floor(scale * x)
-        bad = ~(np.abs(w) < _TOO_LARGE)
+        wide = ~(np.abs(w) < 2.0**62)
+    bad = ~np.isfinite(x)
     owner = np.repeat(np.arange(n), lens)
     good = np.asarray(vectors.is_valid()) & np.asarray(ids.is_valid())
     good[owner[bad]] = False
     dim = int(lens[good].max()) if good.any() else 0
-    dense = np.zeros((n, dim), dtype=np.int64)
+    wide &= good[owner]
+    dense = np.zeros((n, dim), dtype=object if wide.any() else np.int64)
     col = np.arange(len(x)) - np.repeat(np.cumsum(lens) - lens, lens)
-    use = good[owner]
+    use = good[owner] & ~wide
     dense[owner[use], col[use]] = w[use].astype(np.int64)
+    for i in np.flatnonzero(wide):
+        dense[owner[i], col[i]] = int(x[i]) * scale  # so large a double is an integer
     return np.asarray(ids.fill_null(0), dtype=np.int64)[good], dense[good]
 
 
+def _scores(queries: np.ndarray, cands: np.ndarray) -> np.ndarray:
+    """Scores (query x candidate): longs, or Python integers if a sum of products could leave the long range."""
+    terms = min(queries.shape[1], cands.shape[1])
+    limit = int((2.0**62 / max(1, terms)) ** 0.5)
+    q, c = ((np.abs(m) > limit).any(axis=1) if m.size else np.zeros(len(m), dtype=bool) for m in (queries, cands))
+    if not q.any() and not c.any():
+        return _accumulate(queries.astype(np.int64, copy=False), cands.astype(np.int64, copy=False))
+    acc = np.zeros((len(queries), len(cands)), dtype=object)
+    acc[np.ix_(~q, ~c)] = _accumulate(queries[~q].astype(np.int64), cands[~c].astype(np.int64)).astype(object)
+    queries, cands = queries[:, :terms].astype(object), cands[:, :terms].astype(object)
+    acc[q] = queries[q] @ cands.T
+    acc[:, c] = queries @ cands[c].T
+    return acc
+
+
 def _accumulate(queries: np.ndarray, cands: np.ndarray) -> np.ndarray:
-    """Scores (query x candidate), one term after the other."""
+    """Scores (query x candidate) of longs, one term after the other."""
     acc = np.zeros((len(queries), len(cands)), dtype=np.int64)
     for term in range(min(queries.shape[1], cands.shape[1])):
         posting = np.flatnonzero(cands[:, term])
@@ -69,12 +92,12 @@ def _accumulate(queries: np.ndarray, cands: np.ndarray) -> np.ndarray:
 
 def _select(qn, qid, acc, cid, k):
     """k best of each row: higher score first, ties to the smaller id."""
-    lowest = np.iinfo(np.int64).min
+    lowest = _LOWEST if acc.dtype == object else np.iinfo(np.int64).min
     acc[qid[:, None] == cid[None, :]] = lowest  # the query's own rows
     if acc.shape[1] > k:
         kth = np.partition(acc, acc.shape[1] - k, axis=1)[:, acc.shape[1] - k]
     else:
-        kth = np.full(len(acc), lowest)
+        kth = np.full(len(acc), lowest, dtype=acc.dtype)
     row, col = np.nonzero((acc >= kth[:, None]) & (acc > lowest))
     score = acc[row, col]
     order = np.lexsort((cid[col], -score, row))
@@ -126,13 +149,15 @@ def _searcher(sent, b, k, scale, q_step, c_step):
             for i in range(0, len(qid), q_step):
                 best = kept[i // q_step]
                 for j in range(0, len(cid), c_step):
-                    acc = _accumulate(dense[i : i + q_step], cd[j : j + c_step])
+                    acc = _scores(dense[i : i + q_step], cd[j : j + c_step])
                     best.append(_select(qn[i : i + q_step], qid[i : i + q_step], acc, cid[j : j + c_step], k))
                 if len(best) > 8:
                     best[:] = [_best(best, k)]
         for best in kept:
             if best:
                 cols = _best(best, k)
+                if cols[3].dtype == object and len(cols[3]) and not -(1 << 63) <= min(cols[3]) <= max(cols[3]) < 1 << 63:
+                    raise OverflowError("a score leaves the long range")
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["qn", "query_id", "vec_id", "score"])
 
     return run

@@ -261,6 +261,28 @@ def test_markov_tells_random_from_identifiers(spark, docs):
     assert sum(r.is_random == r.got for r in out) / len(out) >= 0.95
 
 
+# 7
+def test_large_finite_vectors_take_part_and_do_not_wrap(spark):
+    big = float(2**21)
+    rows = {1: [1.0, 0.0], 2: [big, 0.5], 3: [-big * 4, 1.0], 4: [1e-3, big - 1], 5: [big - 1, big - 1], 6: [1e18, 0.0], 7: [0.0, 1e-3], 8: [float("inf"), 0.0]}
+    table = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
+    w = {i: [int(np.floor(1024 * x)) if abs(x) < 2**50 else int(x) * 1024 for x in v] for i, v in rows.items() if i != 8}
+    for asked, others in (([7], list(w)), ([1, 4, 7], [1, 2, 3, 4, 7]), ([1], list(w))):
+        want = []
+        if asked == [1]:
+            others = [i for i in others if i != 6]
+        for q in asked:
+            found = sorted(((-sum(a * b for a, b in zip(w[q], w[i])), i) for i in others if i != q))[:3]
+            want += [(q, r, i, -score) for r, (score, i) in enumerate(found, 1)]
+        got = topk_search.top_k(table.where(F.col("vec_id").isin(*others, 8)), table.where(F.col("vec_id").isin(asked)), 3).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+    with pytest.raises(Exception, match="long range"):
+        topk_search.top_k(table, table.where("vec_id = 6"), 3).collect()
+    # Four products of 2**61 each leave the long range when added.
+    even = np.full((1, 4), 3 * 2**29, dtype=np.int64)
+    assert topk_search._scores(even, even)[0, 0] == 4 * (3 * 2**29) ** 2
+
+
 # 10
 def test_raked_weights_meet_targets(spark):
     rows = [(s, g, t, 10.0 * (i + 1)) for i, (s, g, t) in enumerate((s, g, t) for s in "abc" for g in "xy" for t in ("short", "long"))]
