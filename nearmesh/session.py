@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Temporary folders of local sessions without the setting.
+_local: dict[int, str] = {}
+
 
 def local_session(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks."""
@@ -20,17 +25,37 @@ def local_session(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; a temporary folder only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_nearmesh_dir", None)
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Only a local master, where all share one disk, gets a temporary folder if the
+    setting is missing; on a cluster that is an error.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or _local.get(id(spark.sparkContext))
     if not path:
-        path = spark._nearmesh_dir = "file://" + tempfile.mkdtemp(prefix="nearmesh-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="nearmesh-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = _local[id(spark.sparkContext)] = "file://" + folder
     return path.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str = "step") -> DataFrame:
+def step_dir(spark: SparkSession) -> str:
+    """The folder of this application's step tables, within the shared one."""
+    return f"{shared_dir(spark)}/nearmesh-{spark.sparkContext.applicationId}"
+
+
+def clear_steps(spark: SparkSession) -> None:
+    """Delete the step tables of this application; results that still read them are lost."""
+    jvm, path = spark.sparkContext._jvm, step_dir(spark)
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def materialise(df: DataFrame, name: str = "step", compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/nearmesh-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{step_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
