@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearmesh.session import materialise
+
 #: Maps A-Z to a-z, keeps 0-9, a-z and all bytes of non-ASCII characters, and
 #: turns every other byte into a space, so that split() yields the words.
 WORD_BYTES = bytes(
@@ -21,28 +20,9 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Where the session names none, as in tests, a temporary one is set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        kept = getattr(spark, "_nearmesh_shared", None)
-        if kept is None:
-            kept = "file://" + tempfile.mkdtemp(prefix="nearmesh-")
-            spark._nearmesh_shared = kept
-            spark.sparkContext.setCheckpointDir(kept)
-        path = kept
-    return path.rstrip("/")
-
-
 def write_table(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Cut lineage: write ``df`` as Parquet into the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/nearmesh-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return materialise(df, name, compression)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

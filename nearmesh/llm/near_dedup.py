@@ -9,38 +9,44 @@ candidates; the texts of a candidate pair are compared exactly, and a pair with
 Jaccard similarity of five-word shingle sets of 0.8 or more is a link. Classes are
 the connected components of the links.
 
+A text that repeats shingles gets 40 further bands, of the registers of its plain
+shingle set; for any other text both are the same. So every pair of plain Jaccard
+0.8 meets in a band but for a chance of 1e-7, however often either text repeats a
+shingle, and the exact check is on plain sets too.
+
 Scale. Texts with equal words are one node first (combined map-side), so a group of
-exact copies costs one node whatever its size. Within a band bucket the first node
-is compared to the others; no pairs of others are made. A bucket too large for one
-task stays where its rows are and gets its first node by broadcast. After components are
-known, the buckets whose members still have several labels are joined to clusters.
-The nodes of a cluster meet once, in cells of at most two blocks of about CELL
-nodes, where every pair of different labels is compared exactly through the
-postings of its shingles, and only links that join labels are given out. So no
-link that shares a bucket is lost, and rows stay in proportion to nodes. A cluster
-of g nodes is read g / CELL times; the blocks bound what a task holds. Components are found by
-minimum labels with pointer jumping in DataFrames; nothing per document reaches
-the driver. Each step is a table in the shared folder, so lost executors repeat
-one step. A pair of probability Jaccard 0.8 misses all bands with probability 1e-7;
-where repeated shingles make that lower than the Jaccard similarity, misses are likelier.
+exact copies costs one node whatever its size. Within a band bucket the first node,
+its hub, is compared to the others; no pairs of others are made. A hub's text goes
+once to every STAR of its members. A bucket too large for one task stays where its
+rows are and gets its hub by broadcast. After components are known, the buckets
+whose members still have several labels are joined to clusters. The nodes of a
+cluster meet once, in cells of two blocks, where every pair of different labels is
+compared exactly through the postings of its shingles, and only links that join
+labels are given out. So no link that shares a bucket is lost, and rows stay in
+proportion to nodes. Blocks are bounded in nodes and in shingles; a cluster of g
+nodes is read once per block, at most SPREAD times unless the bounds need more.
+Components are found by minimum labels with pointer jumping in DataFrames; hot
+nodes go out by a bounded broadcast, hot labels are salted. Nothing per document
+reaches the driver. Each step is a table in the shared folder, so lost executors
+repeat one step.
 
 Defined cases: a text with no words (null, empty) is a class of its own; one with
-fewer than five words has one shingle of all of them; rows whose id is null only
-join classes of equal words; a class is named by its smallest id; repeated rows
-share a class; an empty table gives an empty result; extra columns are not read.
+fewer than five words has one shingle of all of them; rows whose id is null are
+compared like others and carry their texts along; a class is named by its smallest
+id, one of null ids only by null; repeated rows share a class; an empty table gives
+an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearmesh.llm.batches import slices
+from nearmesh.llm.batches import cuts, slices
 from nearmesh.llm.common import WORD_BYTES, fresh, words_of, write_table
 from nearmesh.llm.feistel import mix64
 
@@ -48,10 +54,17 @@ SHINGLE = 5
 BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
 CHUNK_BYTES = 1 << 20
-#: Nodes of a block of a cluster.
-CELL = 2048
-#: Bound on the buckets that are dealt with as hot.
+#: Most nodes and most shingles of a block of a cluster, and the nodes from which it has SPREAD blocks.
+CELL, CELL_SHINGLES = 2048, 1 << 20
+SMALL, SPREAD = 128, 24
+#: Members that a copy of a hub's text is compared to.
+STAR = 256
+#: Bound on the buckets and nodes that are dealt with as hot.
 HOT_KEYS = 10_000
+#: Links from which a node may be hot.
+HOT_NODE = 10_000
+#: Parts that the rows of one label are dealt to.
+SALTS = 8
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(64, _U(0x100000001B3)), dtype=_U)
@@ -129,8 +142,8 @@ def _bands(held: np.ndarray) -> np.ndarray:
 
 
 def band_keys(texts: list[str | None]):
-    """Band keys of each text, None for texts without words."""
-    out: list[list[int] | None] = [None] * len(texts)
+    """(band keys, number of shingles) of each text; (None, 0) for texts without words."""
+    out: list[tuple] = [(None, 0)] * len(texts)
     begin = size = 0
     for i, text in enumerate(texts):
         size += len(text or "")
@@ -141,70 +154,65 @@ def band_keys(texts: list[str | None]):
 
 
 def _band_chunk(texts, begin: int, end: int, out) -> None:
-    sets, counts, owner, kept = [], [], [], []
+    sets, counts, owner, of = [], [], [], []
     for i in range(begin, end):
         raw = np.frombuffer((texts[i] or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES), np.uint8)
         words, _ = _word_hashes(raw)
         if len(words):
             e, c = np.unique(_shingle_hashes(words), return_counts=True)
-            sets.append(e)
-            counts.append(c)
-            owner.append(np.full(len(e), len(kept)))
-            kept.append(i)
-    if kept:
+            out[i] = ([], len(e))
+            for weights in (c, np.ones_like(c)) if c.max() > 1 else (c,):  # repeats: the plain set too
+                sets.append(e)
+                counts.append(weights)
+                owner.append(np.full(len(e), len(of)))
+                of.append(i)
+    if of:
         weight = 1.0 + np.log(np.concatenate(counts))
-        keys = _bands(_signatures(np.concatenate(owner), np.concatenate(sets), weight, len(kept)))
-        for i, row in zip(kept, keys.tolist()):
-            out[i] = row
+        keys = _bands(_signatures(np.concatenate(owner), np.concatenate(sets), weight, len(of)))
+        for i, row in zip(of, keys.tolist()):
+            out[i][0].extend(row)
 
 
 def _signed(batches):
     for batch in slices(batches, 1):
         texts = batch.column(1).to_pylist()
         nodes = [node_of(t) for t in texts]
-        keys: list = [None] * len(texts)
+        keys: list = [(None, 0)] * len(texts)
         first = {n: i for i, n in reversed(list(enumerate(nodes))) if n is not None}  # one of equal texts is enough
         where = sorted(first.values())
         for i, k in zip(where, band_keys([texts[i] for i in where])):
             keys[i] = k
+        lost = batch.column(0).is_null().to_pylist()
+        own = [t if no and n is not None else None for t, n, no in zip(texts, nodes, lost)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"]
+            [
+                batch.column(0), pa.array(nodes, pa.binary()), pa.array([None if k[0] is None else sorted(set(k[0])) for k in keys], pa.list_(pa.int64())),
+                pa.array([k[1] for k in keys], pa.int64()), pa.array(own, pa.string()),
+            ],
+            names=["doc_id", "node", "bands", "size", "own"],
         )
 
 
 def _verify(threshold: float):
-    """Streams of (a, b, node, text), sorted by (a, b): the pairs that are similar enough."""
+    """Streams of (hub, part, other, node, text), sorted, the hub before the others: the pairs (hub, node) that are similar enough."""
 
     def run(batches):
-        recent: OrderedDict[bytes, np.ndarray] = OrderedDict()
-        pair, have = None, {}
-
-        def settled():
-            if pair is None or len(have) < 2:
-                return False
-            x, y = have[pair[0]], have[pair[1]]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            return both >= threshold * (len(x) + len(y) - both) - 1e-9
-
-        for batch in slices(batches, 3):
+        star, hub, last = None, None, None
+        for batch in slices(batches, 4):
             out = []
-            for a, b, node, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if (a, b) != pair:
-                    if settled():
-                        out.append(pair)
-                    pair, have = (a, b), {}
-                if node in have:
+            for a, part, _, node, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if (a, part) != star:
+                    star, hub, last = (a, part), None, None
+                if node == last or hub is None and node != a or node_of(text) != node:  # seen, or another text under a repeated id
                     continue
-                if node not in recent:
-                    if node_of(text) != node:  # another text under a repeated id
-                        continue
-                    recent[node] = shingle_set(text)
-                    if len(recent) > 64:
-                        recent.popitem(last=False)
-                recent.move_to_end(node)
-                have[node] = recent[node]
+                last, mine = node, shingle_set(text)
+                if node == a:
+                    hub = mine
+                elif min(len(hub), len(mine)) >= threshold * max(len(hub), len(mine)) - 1e-9:
+                    both = len(np.intersect1d(hub, mine, assume_unique=True))
+                    if both >= threshold * (len(hub) + len(mine) - both) - 1e-9:
+                        out.append((a, node))
             yield _pairs(out)
-        yield _pairs([pair] if settled() else [])
 
     return run
 
@@ -213,12 +221,20 @@ def _pairs(rows):
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
 
+def _with_text(placed: DataFrame, nodes: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of ``placed`` (which has node) and a text of each node; nodes without an id bring their own."""
+    known = placed.join(nodes.select("node", "rep", "own"), "node")
+    by_id = known.where("rep is not null").join(docs, F.col("rep") == docs["id"]).select(*columns, "text")
+    return by_id.unionByName(known.where("rep is null").select(*columns, F.col("own").alias("text")))
+
+
 def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are similar enough. ``docs``: columns id, text."""
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
-    known = sides.join(nodes.select("node", "rep"), "node").where("rep is not null")
-    texts = known.join(docs, known["rep"] == docs["id"]).select("a", "b", "node", "text")
-    dealt = texts.repartition("a", "b").sortWithinPartitions("a", "b", "node")
+    """The pairs (a, b) of hubs and members whose texts are similar enough. ``docs``: columns id, text."""
+    large = pairs.groupBy("a").count().where(F.col("count") > STAR).select("a", F.ceil(F.col("count") / STAR).cast("int").alias("n"))
+    parts = pairs.join(large, "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("n", F.lit(1))).cast("int").alias("part"), "b")
+    hubs = parts.select("a", "part").distinct().select("a", "part", F.lit(False).alias("other"), F.col("a").alias("node"))
+    placed = hubs.unionByName(parts.select("a", "part", F.lit(True).alias("other"), F.col("b").alias("node")))
+    dealt = _with_text(placed, nodes, docs, "a", "part", "other", "node").repartition("a", "part").sortWithinPartitions("a", "part", "other", "node")
     return write_table(dealt.mapInArrow(_verify(threshold), "a binary, b binary"), "links")
 
 
@@ -226,16 +242,27 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node in a link (a, b): label is the smallest node of its component."""
     # One small-star step: every node points to its least neighbour, and so do its other lesser neighbours.
     down = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    star = down.groupBy("u").agg(F.array_sort(F.collect_set("v")).alias("vs"))
-    stars = star.select(F.explode(F.array_union(F.array("u"), "vs")).alias("a"), F.element_at("vs", 1).alias("b")).where("a <> b").distinct()
-    stars = write_table(stars, "stars")
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    across = down.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    stars = write_table(least.select(F.col("u").alias("a"), F.col("m").alias("b")).union(across).distinct(), "stars")
     both = write_table(stars.union(stars.select("b", "a")), "edges")
+    counts = both.groupBy(F.col("b").alias("hot")).count()
+    hot = write_table(counts.where(F.col("count") > F.lit(max(HOT_NODE, both.count() // HOT_KEYS))).select("hot"), "hot")  # at most HOT_KEYS
+    none = hot.isEmpty()
+    cold = both if none else write_table(both.join(F.broadcast(hot), F.col("b") == F.col("hot"), "left_anti"), "cold")
     labels = write_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("n")).agg(F.min("label").alias("near"))
+        met = cold.join(labels.select(F.col("node").alias("b"), "label"), "b").select("a", "label")
+        if not none:
+            few = labels.join(F.broadcast(hot), F.col("node") == F.col("hot"), "left_semi").select(F.col("node").alias("b"), "label")
+            met = met.union(both.join(F.broadcast(few), "b").select("a", "label"))
+        near = met.groupBy(F.col("a").alias("n")).agg(F.min("label").alias("near"))
         step = labels.join(near, F.col("node") == F.col("n")).select("node", F.least("label", "near").alias("next"), F.col("label").alias("was"))
-        jump = labels.select(F.col("node").alias("j"), F.col("label").alias("far"))
-        step = step.join(jump, F.col("next") == F.col("j"), "left").select("node", F.least("next", "far").alias("label"), "was")
+        step = write_table(step.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")), "steps")
+        # Many nodes may share a next label: each is looked up once per salt.
+        asked = step.select(F.col("next").alias("j")).distinct().join(labels.select(F.col("node").alias("j"), F.col("label").alias("far")), "j")
+        asked = asked.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        step = step.join(asked, (F.col("next") == F.col("j")) & (F.col("salt") == F.col("s")), "left").select("node", F.least("next", "far").alias("label"), "was")
         step = write_table(step, "labels")
         labels = step.select("node", "label")
         if step.where("label <> was").isEmpty():
@@ -243,8 +270,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _nodes_and_rows(docs: DataFrame):
-    rows = write_table(docs.select("id", "text").mapInArrow(_signed, "doc_id long, node binary, bands array<bigint>"), "signed")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands", ignorenulls=True).alias("bands"))
+    rows = write_table(docs.select("id", "text").mapInArrow(_signed, "doc_id long, node binary, bands array<bigint>, size long, own string"), "signed")
+    nodes = rows.where("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("rep"), F.first("bands", ignorenulls=True).alias("bands"), F.max("size").alias("size"), F.first("own", ignorenulls=True).alias("own")
+    )
     return rows.select("doc_id", "node"), write_table(nodes, "nodes")
 
 
@@ -336,14 +365,15 @@ def _labels(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     edges = write_table(members.join(open_, "key", "left_semi").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "open")
     if edges.isEmpty():
         return labels
-    clusters = components(edges).select("node", F.col("label").alias("cluster"))
-    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / CELL).cast("int").alias("n"))
+    clusters = components(edges).select("node", F.col("label").alias("cluster")).join(nodes.select("node", "size"), "node")
+    count = F.count("*")
+    n = F.greatest(count / CELL, F.least(count / SMALL, F.lit(SPREAD)), F.sum("size") / CELL_SHINGLES)
+    blocks = clusters.groupBy("cluster").agg(F.ceil(n).cast("int").alias("n"))
     placed = clusters.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     placed = placed.select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node")
     placed = placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    placed = placed.join(nodes.select("node", "rep"), "node").where("rep is not null")
-    cells = placed.join(docs, placed["rep"] == docs["id"]).select("cluster", "x", "y", "block", "node", "label", "text")
+    cells = _with_text(placed, nodes, docs, "cluster", "x", "y", "block", "node", "label")
     cells = cells.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "node")
     more = write_table(cells.mapInArrow(_compared(threshold), "a binary, b binary"), "links")
     return components(links.union(more))
@@ -354,8 +384,8 @@ def _classes(docs: DataFrame, doc_id: str, text: str, threshold: float):
     rows, nodes = _nodes_and_rows(docs)
     labels = _labels(docs, nodes, threshold)
     label = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    names = label.groupBy("label").agg(F.min("rep").alias("class_id"))
-    return rows, write_table(label.join(names, "label").select("node", "rep", "class_id"), "classes")
+    names = label.groupBy("label").agg(F.min("rep").alias("class_id"), F.min(F.struct(F.col("rep").isNull(), "rep", "node")).alias("first"))
+    return rows, write_table(label.join(names, "label").select("node", "rep", "class_id", (F.col("node") == F.col("first.node")).alias("is_first")), "classes")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -366,20 +396,40 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` with one row of each class left, with the columns of ``docs``."""
+    """The rows of ``docs`` with one row of each class left, with the columns of ``docs``.
+
+    The row with the smallest id stays; of several nodes under that id (repeated ids
+    with different texts) the one of the smallest digest, of repeated rows any one.
+    Rows without words all stay.
+    """
     rows, classes = _classes(docs, doc_id, text, threshold)
-    # A row stays if it has no words, or if it is the first row of the node that names its class.
-    named = classes.where("rep <=> class_id").groupBy("rep").agg(F.min("node").alias("node"))
-    first = classes.where("class_id is null").select("rep", "node").union(named)
-    losers = rows.where("node is not null").join(first, "node", "left").where("rep is null or not (doc_id <=> rep)")
-    kept_twice = rows.where("node is not null").groupBy("doc_id", "node").count().where("count > 1").join(first, "node", "left_semi")
+    worded = rows.where("node is not null")
+    first = classes.where("is_first").select("node", "rep")
+    losers = worded.join(first, "node", "left_anti").unionByName(worded.join(first, "node").where("not (doc_id <=> rep)").select("doc_id", "node"))
     i, n = fresh(docs, "nm_id", "nm_node")
     keyed = docs.withColumn(i, F.col(doc_id).cast("long"))
-    plain = rows.where("node is not null").groupBy("doc_id").agg(F.count_distinct("node").alias("c")).where("c > 1 or doc_id is null").isEmpty()
-    if plain and kept_twice.isEmpty():  # ids tell rows apart
+    per_id = rows.groupBy("doc_id").agg(F.count("*").alias("c"), F.count("node").alias("w"))
+    if per_id.where("w > 0 and (c > 1 or doc_id is null)").isEmpty():  # ids tell rows apart
         gone = losers.select(F.col("doc_id").alias(n)).distinct()
         return keyed.join(gone, keyed[i] == F.col(n), "left_anti").select(*docs.columns)
-    digest = F.udf(node_of, "binary")
-    keyed = keyed.withColumn(n, digest(F.col(text)))
-    kept = keyed.where(F.col(n).isNotNull()).join(first.select(F.col("node").alias("f_node"), "rep"), (F.col(n) == F.col("f_node")) & keyed[i].eqNullSafe(F.col("rep")), "left_semi")
+
+    def digests(texts: pa.Array) -> pa.Array:
+        return pa.array([node_of(t) for a, k in cuts(texts) for t in texts.slice(a, k).to_pylist()], pa.binary())
+
+    keyed = keyed.withColumn(n, F.arrow_udf(digests, "binary")(F.col(text)))
+    kept = keyed.where(F.col(n).isNotNull()).join(first.select(F.col("node").alias("f_node"), F.col("rep").alias("f_rep")), (F.col(n) == F.col("f_node")) & keyed[i].eqNullSafe(F.col("f_rep")), "left_semi")
     return kept.dropDuplicates([n]).select(*docs.columns).unionByName(keyed.where(F.col(n).isNull()).select(*docs.columns))
+
+
+#: Exact pairs of all documents and their components. Feasible on small tables only.
+ORACLE = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT rid, hash(array_to_string(w[i : i + 4], ' ')) AS s FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT rid, count(*) AS c FROM g GROUP BY rid),
+p AS MATERIALIZED (SELECT a.rid AS x, b.rid AS y, count(*) AS c2 FROM g a JOIN g b ON a.s = b.s AND a.rid < b.rid GROUP BY a.rid, b.rid),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n u ON u.rid = x JOIN n v ON v.rid = y WHERE 5 * c2 >= 4 * (u.c + v.c - c2)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT d.doc_id, least(d.doc_id, (SELECT min(o.doc_id) FROM r JOIN d o ON o.rid = r.y WHERE r.x = d.rid)) AS class_id FROM d
+"""

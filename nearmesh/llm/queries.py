@@ -72,6 +72,7 @@ ORACLES = {
     "op2_decontaminate": decontaminate.ORACLE,
     "op3_url_filter": url_filter.ORACLE,
     "op5_sharding": sharding.ORACLE,
+    "op6_minhash_near_dedup": near_dedup.ORACLE,
     "op7_topk_search": topk_search.ORACLE,
     "op10_mixing": mixing.oracle(),
 }

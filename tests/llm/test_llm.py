@@ -183,11 +183,41 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     rows += [(200, None), (201, ""), (202, "one two"), (203, "One, two!")]
     want = brute_classes(rows)
-    for cell in (2048, 20):
-        monkeypatch.setattr(near_dedup, "CELL", cell)
+    for small in (128, 5):
+        monkeypatch.setattr(near_dedup, "SMALL", small)
+        monkeypatch.setattr(near_dedup, "STAR", small)
         got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(made(spark, rows)).collect()}
         assert got == want
-    assert near_dedup.deduplicated(made(spark, rows)).count() == len(set(want.values()))
+    kept = sorted(r.doc_id for r in near_dedup.deduplicated(made(spark, rows)).collect())
+    assert kept == sorted(set(want.values()))  # the smallest id of each class
+
+
+def test_repeated_lines_and_null_ids_lose_no_link(spark):
+    rng = random.Random(9)
+    word = lambda: f"u{rng.randint(0, 10**6)}"
+    rows = []
+    for i in range(40):  # plain Jaccard above 0.8; one text repeats a line up to 1000 times, or both repeat other halves
+        head, line = [word() for _ in range(110)], [word() for _ in range(24)]
+        rows.append((2 * i, " ".join(head + line)))
+        rows.append((2 * i + 1, " ".join(head + line * (1, 100, 1000)[i % 3]) + " " + word()))
+    for i in range(100, 120):
+        a, b = [word() for _ in range(80)], [word() for _ in range(80)]
+        rows += [(2 * i, " ".join(a * 50 + b)), (2 * i + 1, " ".join(a + b * 50))]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(made(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+    text = " ".join(word() for _ in range(100))
+    odd = made(spark, [(None, text), (None, text + " more"), (None, "quite another text of some words"), (None, "quite another text of some words"), (7, "x " + text), (None, None), (None, "")])
+    assert sorted(str(r.class_id) for r in near_dedup.near_duplicates(odd).collect()) == ["7", "7", "7", "None", "None", "None", "None"]
+    assert sorted(str(r.doc_id) for r in near_dedup.deduplicated(odd).collect()) == ["7", "None", "None", "None"]
+
+
+def test_hot_nodes_give_the_same_components(spark, monkeypatch):
+    rng = random.Random(3)
+    pairs = [(bytes([rng.randrange(200)]), bytes([rng.randrange(200)])) for _ in range(150)] + [(bytes([0]), bytes([i])) for i in range(1, 60)]
+    links = spark.createDataFrame(pairs, "a binary, b binary")
+    want = sorted(map(tuple, near_dedup.components(links).collect()))
+    monkeypatch.setattr(near_dedup, "HOT_NODE", 3)
+    assert sorted(map(tuple, near_dedup.components(links).collect())) == want
 
 
 def test_hot_buckets_have_the_same_members(spark, docs, monkeypatch):
