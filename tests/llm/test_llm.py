@@ -104,11 +104,65 @@ def test_contamination_against_brute_force(spark):
         assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in got} == want
 
 
-def test_longest_match_and_location(spark):
-    text = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
-    bench = spark.createDataFrame([("q", text + " end")], "item_id string, text string")
-    out = decontaminate.longest_matches(made(spark, [(8, "aa bb " + text + " other"), (9, text[5:])]), bench).where("item_pos = 0").collect()
-    assert [(r.item_id, r.length, r.doc_id, r.doc_pos) for r in out] == [("q", 15, 8, 2)]
+def test_suffix_array_is_the_order_of_all_suffixes():
+    rng = np.random.default_rng(1)
+    for n, words, least in ((0, 3, 1), (60, 2, 1), (200, 3, 2), (300, 4, 5)):
+        train = np.append(np.where(rng.random(n) < 0.06, -1, rng.integers(0, words, n)), [-1, -1]).astype(np.int32)
+        train = np.concatenate((train, train))  # long repeats
+        sa, run = decontaminate.suffix_array(train, least)
+        tail = lambda p: train[p : p + run[p]].tolist()
+        want = [p for p in range(len(train)) if run[p] >= least and train[p] >= 0]
+        assert sorted(sa.tolist()) == want and [tail(p) for p in sa] == sorted(map(tail, want))
+
+
+def brute_longest(items, rows, least):
+    out = {}
+    for item, text in items:
+        q = words_of(text)
+        for s in range(len(q)):
+            best = (0,)
+            for i, t in rows:
+                w = words_of(t)
+                for p in range(len(w)):
+                    n = 0
+                    while s + n < len(q) and p + n < len(w) and q[s + n] == w[p + n]:
+                        n += 1
+                    best = min(best, (-n, i, p)) if n else best
+            if -best[0] >= least:
+                out[item, s] = (-best[0], *best[1:])
+    return out
+
+
+def test_longest_matches_against_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    say = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    items = [(f"q{i}", say(rng.choice([2, 20, 30]))) for i in range(5)] + [("none", ""), ("null", None)]
+    rows = [(i, say(25) + " zz " + rng.choice(items[:5])[1] + " " + say(4)) for i in range(14)] + [(50, None), (51, ""), (52, items[1][1]), (53, items[1][1])]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    for shard, block in ((4 << 20, 2_000_000), (60, 25)):  # several shards and blocks
+        monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard)
+        out = decontaminate.longest_matches(made(spark, rows), bench, least=1, block_words=block).collect()
+        assert {(r.item_id, r.item_pos): (r.length, r.doc_id, r.doc_pos) for r in out} == brute_longest(items, rows, 1)
+    assert decontaminate.longest_matches(made(spark, rows).limit(0), bench).count() == 0
+    assert decontaminate.longest_matches(made(spark, rows), bench.limit(0)).count() == 0
+
+
+def test_report_equals_its_sql_on_random_texts(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(8)
+    say = lambda n: " ".join(rng.choice("abcd") for _ in range(n))
+    items = [(i % 9, say(rng.choice([1, 2, 5, 14, 30]))) for i in range(12)]
+    rows = [(i, say(rng.choice([0, 3, 40])) + " x " + rng.choice(items)[1] + " " + rng.choice(items)[1] + " " + say(9)) for i in range(80)]
+    docs, bench = made(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", bench)):
+        df.write.parquet(str(tmp_path / name))
+        con.execute(f"create view {name} as select * from read_parquet('{tmp_path / name}/*.parquet')")
+    for block in (2_000_000, 20):
+        got = decontaminate.contamination_report(docs, bench, block_words=block).drop("items")
+        cols = sorted(got.columns)
+        assert sorted(map(repr, map(tuple, got.select(*cols).collect()))) == sorted(map(repr, con.execute(f"select {', '.join(cols)} from ({decontaminate.ORACLE})").fetchall()))
 
 
 # 3
