@@ -25,7 +25,8 @@ the same counted bound.
 Defined cases: null source, language or topic is a value of its own; a value
 without a target gets share 0 and is never sampled, a target without documents is
 ignored and the others are scaled up; documents without tokens are never sampled;
-a null id has a fixed uniform number; repeated rows are decided alike; an empty
+targets that no weights can meet leave a residual (``residuals``), the last raked
+marginal (topic) being met; a null id has a fixed uniform number; repeated rows are decided alike; an empty
 table gives an empty result.
 """
 
@@ -71,8 +72,9 @@ def _targets(cells: DataFrame, dim: str, targets: DataFrame | None) -> DataFrame
     else:
         given = targets.groupBy(F.col("value").alias("v")).agg(F.sum("share").alias("share"))
         sums = sums.join(given, F.col("value").eqNullSafe(F.col("v")), "left").select("value", F.coalesce("share", F.lit(0.0)).alias("share"))
-    everything = Window.partitionBy(F.lit(1))
-    return sums.select(F.col("value").alias(f"{dim}_v"), (F.col("share") / F.sum("share").over(everything)).alias(f"{dim}_target"))
+    total = sums.agg(F.sum("share")).first()[0] or 0.0
+    share = F.col("share") / F.lit(float(total)) if total else F.lit(0.0)
+    return sums.select(F.col("value").alias(f"{dim}_v"), share.alias(f"{dim}_target"))
 
 
 def _full_rate(cells: DataFrame, least: float) -> float:
@@ -114,6 +116,17 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
     return out.select("source", "lang", "topic", "t", "w", F.least(F.lit(1.0), F.col("w") / F.col("t") / F.lit(full)).alias("rate"))
 
 
+def residuals(raked: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(dim, value, target, weight, residual) per marginal value after raking: how far targets are from being met (unreachable ones stay so)."""
+    out = None
+    for dim in ALPHAS:
+        side = _targets(raked.select("source", "lang", "topic", "t"), dim, (targets or {}).get(dim))
+        sums = raked.groupBy(F.col(dim).alias("value")).agg(F.sum("w").alias("weight"))
+        part = sums.join(side, F.col("value").eqNullSafe(F.col(f"{dim}_v"))).select(F.lit(dim).alias("dim"), "value", F.col(f"{dim}_target").alias("target"), "weight")
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("residual", F.abs(F.col("weight") - F.col("target")))
+
+
 def _with_keys(docs: DataFrame, text: str, source: str, lang: str, topic: str | None) -> tuple[DataFrame, list[str]]:
     names = fresh(docs, "nm_tokens", "nm_source", "nm_lang", "nm_topic")
     out = docs.withColumn(names[0], n_words(F.col(text)))

@@ -5,7 +5,8 @@ ranges for social security numbers, octets for IPv4, the calendar for dates),
 and replaced by their image under a keyed Feistel permutation of the format's own
 domain. The image is valid in the same format, keeps separators and layout, and is
 the same for equal values in all documents: a date has one image in every layout, a
-phone number one under every separator. ``reveal`` inverts it with the key.
+phone number, card or IBAN one under every separator. International numbers keep
+their country code. ``reveal`` inverts it with the key.
 
 Scale: one map-side pass over whole texts, no shuffle, no state.
 
@@ -26,20 +27,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearmesh.llm.batches import slices
 from nearmesh.llm.feistel import Permutation
 
 _B, _E = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 PATTERNS = {
     "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    "iban": re.compile(_B + r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}" + _E),
+    "iban": re.compile(_B + r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)" + _E),
     "ip": re.compile(r"(?<![0-9A-Za-z_.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z_])(?!\.[0-9])"),
-    "card": re.compile(_B + r"(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})" + _E),
+    "card": re.compile(_B + r"(?:[0-9]{13,19}|[0-9]{4}([ .-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ .-])[0-9]{6}\2[0-9]{5})" + _E),
     "ssn": re.compile(_B + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _E),
-    "phone": re.compile(r"(?<![0-9A-Za-z_+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}" + _E),
-    "date": re.compile(_B + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([/.])[0-9]{1,2}\1[0-9]{4})" + _E),
+    "phone": re.compile(
+        r"(?<![0-9A-Za-z_+])(?:(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}|\+[1-9][0-9]{0,14}(?:[ .-]?(?:\([0-9]{1,5}\)|[0-9]{1,8})){0,6})" + _E
+    ),
+    "date": re.compile(_B + r"(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{1,2}([/.])[0-9]{1,2}\2[0-9]{4})" + _E),
 }
 KINDS = list(PATTERNS)
+_LAST = re.compile(r"[ .-]\(?[0-9A-Z]+\)?$")
 _DAY0, _DAYS = dt.date(1900, 1, 1), (dt.date(2099, 12, 31) - dt.date(1900, 1, 1)).days + 1
+#: Fixed country calling codes of one and two digits; all others have three.
+CODES = {"1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98"}
 _UP, _LOW, _DIG = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 
@@ -105,10 +112,10 @@ class Pseudonyms:
             out[i] = c
         return "".join(out)
 
-    def _laid(self, value: str, digits: str) -> str:
-        """``digits`` in the layout of ``value``."""
-        it = iter(digits)
-        return "".join(next(it) if c in _DIG else c for c in value)
+    def _laid(self, value: str, new: str) -> str:
+        """``new`` in the layout of ``value``: separators stay where they are."""
+        it = iter(new)
+        return "".join(next(it) if c in _DIG or c in _UP else c for c in value)
 
     def _image(self, kind: str, value: str) -> str | None:
         """The pseudonym of a value; None if it is not valid."""
@@ -117,10 +124,11 @@ class Pseudonyms:
             local, _, domain = value.rpartition("@")
             return self._chars(local, "email:" + domain.lower()) + "@" + domain
         if kind == "iban":
-            if _mod97(value[4:] + value[:4]) != 1:
+            plain = value.replace(" ", "")
+            if not 15 <= len(plain) <= 34 or _mod97(plain[4:] + plain[:4]) != 1:
                 return None
-            body = self._chars(value[4:], "iban:" + value[:2])
-            return value[:2] + f"{98 - _mod97(body + value[:2] + '00'):02d}" + body
+            body = self._chars(plain[4:], "iban:" + plain[:2])
+            return self._laid(value, plain[:2] + f"{98 - _mod97(body + plain[:2] + '00'):02d}" + body)
         if kind == "ip":
             octets = [int(x) for x in value.split(".")]
             if max(octets) > 255 or any(len(x) > 1 and x[0] == "0" for x in value.split(".")):
@@ -140,6 +148,12 @@ class Pseudonyms:
             x, s = divmod(x, 9999)
             a, g = divmod(x, 99)
             return f"{a + 1 + (a >= 665):03d}-{g + 1:02d}-{s + 1:04d}"
+        if kind == "phone" and value[0] == "+" and (digits[0] != "1" or len(digits) != 11):
+            if not 8 <= len(digits) <= 15:
+                return None
+            n = next((n for n in (1, 2) if digits[:n] in CODES), 3)
+            sets = ["0" if digits[n] == "0" else _DIG[1:], *[_DIG] * (len(digits) - n - 1)]
+            return self._laid(value, digits[:n] + self._mixed(digits[n:], sets, "phone:" + digits[:n]))
         if kind == "phone":
             head, ten = digits[:-10], digits[-10:]
             first = [next(x for x in ("01", "23456789") if ten[i] in x) for i in (0, 3)]
@@ -147,8 +161,9 @@ class Pseudonyms:
             return self._laid(value, head + self._mixed(ten, sets, "phone"))
         if kind == "date":
             parts = re.split(r"[-/.]", value)
-            y, m, d = map(int, parts if "-" in value else parts[::-1])
-            if "-" not in value and m > 12:  # month first
+            year_first = len(parts[0]) == 4
+            y, m, d = map(int, parts if year_first else parts[::-1])
+            if not year_first and m > 12:  # month first
                 m, d, swapped = d, m, True
             else:
                 swapped = False
@@ -159,8 +174,8 @@ class Pseudonyms:
             if not 0 <= at < _DAYS:
                 return None
             new = _DAY0 + dt.timedelta(self._map(at, _DAYS, "date"))
-            if "-" in value:
-                return new.isoformat()
+            if year_first:
+                return new.isoformat().replace("-", value[4])
             a, b = (new.month, new.day) if swapped else (new.day, new.month)
             wide = len(parts[0]) == 2 and len(parts[1]) == 2
             return value[len(parts[0])].join([f"{a:02d}" if wide else str(a), f"{b:02d}" if wide else str(b), f"{new.year:04d}"])
@@ -171,11 +186,14 @@ class Pseudonyms:
         found = []
         digit = re.search("[0-9]", text) is not None
         for kind, pattern in PATTERNS.items():
-            if not digit and kind != "email" or kind == "email" and "@" not in text or kind in ("ssn",) and "-" not in text:
+            if not digit and kind != "email" or kind == "email" and "@" not in text or kind == "ssn" and "-" not in text:
                 continue
             for m in pattern.finditer(text):
-                if (new := self.image(kind, m[0])) is not None:
-                    found.append((m.start(), m.end(), kind, new))
+                value = m[0]
+                while (new := self.image(kind, value)) is None and (kind == "iban" or value[0] == "+") and (cut := _LAST.search(value)):
+                    value = value[: cut.start()]  # a word or number that follows may look like a last group
+                if new is not None:
+                    found.append((m.start(), m.start() + len(value), kind, new))
         found.sort(key=lambda f: (f[0], -f[1], KINDS.index(f[2])))
         out, end = [], 0
         for f in found:
@@ -200,7 +218,7 @@ def pseudonymise(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str
 
     def run(batches):
         work = Pseudonyms(key, reveal)
-        for batch in batches:
+        for batch in slices(batches, 1):
             spans, texts = [], []
             for value in batch.column(1).to_pylist():
                 found, new = work.rewrite(value)

@@ -93,13 +93,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
     return w, mean, scale
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample_docs: int = 6000):
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample_docs: int = 6000, label_id: str = "doc_id"):
     """The evidence model, or None without labels of both classes.
 
-    ``sample_docs`` bounds the labelled documents that are read for it: at most
-    that many rows of features (not texts) reach the driver.
+    ``sample_docs`` bounds the labelled documents that it is fitted on, those with the
+    smallest hashes of their ids: at most that many rows of features (not texts) reach
+    the driver. Of several texts of an id the one with the least features counts.
     """
-    known = labels.select(F.col("doc_id").alias("i"), F.col(label).alias("y")).where("i is not null and y is not null")
+    known = labels.select(F.col(label_id).alias("i"), F.col(label).alias("y")).where("i is not null and y is not null")
     known = known.groupBy("i").agg(F.min("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("i"), "i").limit(sample_docs)  # a bounded table
 
@@ -112,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         .join(F.broadcast(chosen), F.col("d") == F.col("i"))
         .select("d", "y", vector("t").alias("x"))
         .where("x is not null")
-        .limit(2 * sample_docs)
+        .groupBy("d", "y").agg(F.min("x").alias("x"))
         .collect()
     )
     rows.sort(key=lambda r: (r.d, r.x))
@@ -181,12 +182,16 @@ def _joined(rows: DataFrame, groups: DataFrame, host: str, path: str, broadcast_
 
 def classify(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang",
-    threshold: float = 0.5, sample_docs: int = 6000, broadcast_groups: int = 100_000,
+    threshold: float = 0.5, sample_docs: int = 6000, broadcast_groups: int = 100_000, label_id: str = "doc_id",
 ) -> DataFrame:
     """Per document: doc_id, evidence, host_posterior, path_posterior, score, keep."""
-    model = train(docs, labels, doc_id, text, sample_docs=sample_docs)
+    model = train(docs, labels, doc_id, text, sample_docs=sample_docs, label_id=label_id)
     scores = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), evidence(model)(F.col(text)).alias("logit"))
-    scores = write_table(scores, "scores")
+    return judged(write_table(scores, "scores"), threshold, broadcast_groups)
+
+
+def judged(scores: DataFrame, threshold: float = 0.5, broadcast_groups: int = 100_000) -> DataFrame:
+    """The decisions on rows (doc_id, host, path, logit)."""
     out = _joined(scores, posteriors(scores), "host", "path", broadcast_groups)
     score = _sigmoid(F.col("logit") + F.coalesce("offset", F.lit(0.0)))
     return out.select("doc_id", F.col("logit").alias("evidence"), "host_posterior", "path_posterior", score.alias("score"), (score >= threshold).alias("keep"))
@@ -194,14 +199,14 @@ def classify(
 
 def accepted(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang",
-    threshold: float = 0.5, sample_docs: int = 6000, broadcast_groups: int = 100_000,
+    threshold: float = 0.5, sample_docs: int = 6000, broadcast_groups: int = 100_000, label_id: str = "doc_id",
 ) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with the columns of ``docs``.
 
     The texts are scored twice, once for the sums and once for the decision, so
     that they are never shuffled.
     """
-    model = train(docs, labels, doc_id, text, sample_docs=sample_docs)
+    model = train(docs, labels, doc_id, text, sample_docs=sample_docs, label_id=label_id)
     h, p, logit = F.col(host).cast("string"), F.col(path).cast("string"), evidence(model)(F.col(text))
     groups = posteriors(docs.select(h.alias("host"), p.alias("path"), logit.alias("logit")))
     a, b, c = fresh(docs, "nm_h", "nm_p", "nm_logit")

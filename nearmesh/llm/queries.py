@@ -11,6 +11,8 @@ from nearmesh.llm.common import read
 PII_KEY = b"nearmesh demonstration key"
 #: The key of the training order.
 ORDER_KEY = 20260
+#: Bytes of a shard in the query that shows splits and pages.
+SMALL_LIMIT = 40_000
 
 
 def op1_token_output(spark, sf_dir):
@@ -34,6 +36,11 @@ def op5_sharding(spark, sf_dir):
     return sharding.assign_shards(read(spark, sf_dir, "documents"))
 
 
+def sharding_small_limit(spark, sf_dir):
+    """As op5, with so low a limit that buckets split many times and large texts overflow."""
+    return sharding.assign_shards(read(spark, sf_dir, "documents"), SMALL_LIMIT)
+
+
 def op8_pii(spark, sf_dir):
     return pii.pseudonymise(read(spark, sf_dir, "documents"), PII_KEY)
 
@@ -61,6 +68,7 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_sharding": op5_sharding,
+    "sharding_small_limit": sharding_small_limit,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_topk_search": op7_topk_search,
     "op8_pii": op8_pii,
@@ -71,7 +79,8 @@ QUERIES = {
 ORACLES = {
     "op2_decontaminate": decontaminate.ORACLE,
     "op3_url_filter": url_filter.ORACLE,
-    "op5_sharding": sharding.ORACLE,
+    "op5_sharding": sharding.oracle(),
+    "sharding_small_limit": sharding.oracle(SMALL_LIMIT),
     "op6_minhash_near_dedup": near_dedup.ORACLE,
     "op7_topk_search": topk_search.ORACLE,
     "op10_mixing": mixing.oracle(),

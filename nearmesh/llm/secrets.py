@@ -76,7 +76,8 @@ def default_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Labelled samples (token, is_random).
 
     Random: strings in the usual alphabets (hex, base64, upper-case base 36),
-    made from SHA-256. Ordinary: identifiers made of the words of at most
+    made from SHA-256, and what the base patterns find in the sampled documents.
+    Ordinary: identifiers made of their other words. Sampled are at most
     ``sample_docs`` documents, those with the smallest hashes of their ids.
     """
     spark = docs.sparkSession
@@ -86,11 +87,14 @@ def default_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     random = spark.range(n_random, numPartitions=1).select(F.element_at(F.array(*kinds), (F.col("id") % 4 + 1).cast("int")).alias("token"), F.lit(True).alias("is_random"))
     ids = docs.select(F.col(doc_id).alias("i")).where("i is not null").orderBy(F.xxhash64("i"), "i").limit(sample_docs).distinct()
     texts = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).join(F.broadcast(ids), F.col("d") == F.col("i")).select("t")
+    texts = texts.dropDuplicates()  # of a bounded table
+    values = F.concat(F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("t", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("t", F.lit(HEX_RUN), F.lit(0)))
+    known = texts.select(F.explode(values).alias("token"), F.lit(True).alias("is_random")).where(F.length("token") >= 16)
     words = texts.select(F.explode(F.regexp_extract_all("t", F.lit("[A-Za-z]{3,18}"), F.lit(0))).alias("w"))
     w, low = F.col("w"), F.lower("w")
     forms = F.array(w, low, F.upper(w), F.concat(low, F.lit("_"), low), F.concat(F.lit("get"), F.initcap(w), F.lit("Id1")), F.concat(low, F.lit("-"), low, F.lit("-2")), F.concat(F.lit("/"), low, F.lit("/"), low))
     plain = words.select(F.explode(forms).alias("token"), F.lit(False).alias("is_random"))
-    return random.unionByName(plain)
+    return random.unionByName(known).unionByName(plain)
 
 
 def train(samples: DataFrame) -> list[float] | None:

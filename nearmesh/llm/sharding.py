@@ -110,14 +110,16 @@ def _overflow(rows: DataFrame, limit: int) -> DataFrame:
     return paged.join(sizes, ["key", "page"]).select("doc_id", F.col("bytes").alias("n_bytes"), shard.alias("shard"), F.lit(BITS).alias("depth"), "shard_bytes")
 
 
-ORACLE = f"""
-WITH k AS (SELECT row_number() OVER () AS rid, doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
+def oracle(limit: int = LIMIT) -> str:
+    """DuckDB SQL of ``assign_shards``. Rows above the limit are pages of their own; it states no pages of several equal rows."""
+    return f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS key FROM documents),
 e AS (SELECT rid, doc_id, n_bytes, key, unnest(range(0, {BITS + 1})) AS depth FROM k),
 p AS (SELECT rid, doc_id, n_bytes, depth, key >> ({BITS} - depth) AS prefix FROM e),
 s AS (SELECT depth, prefix, sum(n_bytes) AS shard_bytes FROM p GROUP BY depth, prefix),
 j AS (SELECT p.*, s.shard_bytes, row_number() OVER (PARTITION BY rid ORDER BY p.depth) AS rn
-  FROM p JOIN s ON p.depth = s.depth AND p.prefix = s.prefix WHERE s.shard_bytes <= {LIMIT})
-SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), CAST(depth AS INTEGER), '0') END AS shard,
+  FROM p JOIN s ON p.depth = s.depth AND p.prefix = s.prefix WHERE s.shard_bytes <= {limit} OR p.depth = {BITS})
+SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), CAST(depth AS INTEGER), '0') END || CASE WHEN shard_bytes > {limit} THEN '.0' ELSE '' END AS shard,
   CAST(depth AS INTEGER) AS depth, CAST(shard_bytes AS BIGINT) AS shard_bytes FROM j WHERE rn = 1
 """

@@ -2,15 +2,17 @@
 
 Every vector becomes a sparse integer vector, floor(scale * x) per component; a
 component is a term and its integer the weight. The queries are processed in
-blocks of bounded size. A block is broadcast; each task walks its candidates in
-blocks, builds a postings list per term, and for each term scatters the products
+blocks of at most ``queries_per_block`` rows, one after the other: a block is read,
+broadcast, answered into a table and dropped before the next. Each task walks its
+candidates in blocks, builds a postings list per term, and for each term scatters the products
 of query weights and postings into a dense (query x candidate) score array.
 Partition selection (argpartition with all ties of the k-th score kept) leaves k
 rows per query and task; those are merged by a ranking window.
 
 Scale: candidates are never shuffled, only k rows per query and task are. Memory
-in a task is queries_per_block * candidates_per_block * 8 bytes. The number of
-broadcasts grows with the query set, the size of each does not.
+in a task is STEP * candidates_per_block * 8 bytes and k rows per query of a block.
+The number of passes over the candidates grows with the query set, what the driver
+and a task hold does not.
 
 Scores are exact: rows whose products could leave the long range are scored with
 Python integers, the others with longs. A selected score outside the long range is
@@ -24,11 +26,18 @@ candidate rows count each; null ids take no part; ties go to the smaller id.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearmesh.llm.common import write_table
+
+#: Queries that are scored at once.
+STEP = 2048
 _OUT = "qn long, query_id long, vec_id long, score long"
 #: Below every score of finite doubles.
 _LOWEST = -(1 << 4000)
@@ -114,35 +123,37 @@ def top_k(
     key: str = "vec_id",
     vector: str = "embedding",
     scale: int = 1024,
-    queries_per_block: int = 2048,
+    queries_per_block: int = 16_384,
     candidates_per_block: int = 1024,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query's k best rows of ``vectors``."""
     spark = vectors.sparkSession
     cands = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
     asked = queries.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
-    # Blocks of the stated query set, dealt by id hash; toLocalIterator keeps one at a time on the driver.
-    total = asked.count()
-    blocks = max(1, -(-total // queries_per_block))
-    parts = []
-    for b in range(blocks):
-        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        table = block.toArrow()
-        qid, dense = _weights(table["id"].combine_chunks(), table["v"], scale)
+    w = Window.partitionBy("qn").orderBy(F.desc("score"), "vec_id")
+
+    def answered(ids: pa.Array, vectors: pa.Array | pa.ChunkedArray):
+        qid, dense = _weights(ids, vectors, scale)
         order = np.argsort(qid, kind="stable")
         sent = spark.sparkContext.broadcast((qid[order], dense[order]))
-        parts.append(cands.mapInArrow(_searcher(sent, b, k, scale, queries_per_block, candidates_per_block), _OUT))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
-    w = Window.partitionBy("qn").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = cands.mapInArrow(_searcher(sent, k, scale, candidates_per_block), _OUT)
+        return sent, found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    if asked.limit(queries_per_block + 1).count() <= queries_per_block:
+        table = asked.toArrow()
+        return answered(table["id"].combine_chunks(), table["v"])[1]
+    rows, parts = write_table(asked, "queries").toLocalIterator(), []
+    while block := list(islice(rows, queries_per_block)):
+        sent, found = answered(pa.array([r.id for r in block], pa.int64()), pa.array([r.v for r in block], pa.list_(pa.float64())))
+        parts.append(write_table(found, "found"))
+        sent.destroy()
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _searcher(sent, b, k, scale, q_step, c_step):
+def _searcher(sent, k, scale, c_step):
     def run(batches):
         qid, dense = sent.value
-        qn = np.arange(len(qid)) + (b << 40)
+        qn, q_step = np.arange(len(qid)), STEP
         kept: list[list[tuple]] = [[] for _ in range(0, len(qid), q_step)]
         for batch in batches:
             cid, cd = _weights(batch.column(0), batch.column(1), scale)

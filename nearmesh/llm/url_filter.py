@@ -3,8 +3,10 @@
 A rule (host, path, verdict) fits its host and every subdomain of it when the
 URL's path starts with the rule's path. Every distinct (host, path) of the input
 is expanded into the expressions that some rule could equal: only the pairs
-(number of host labels, path length) that occur among the rules are made, so a
-URL of any length yields at most one expression per such shape. Expressions and
+(number of host labels, path length) that occur among the rules are made, by a join
+on the number of labels, so a URL of any length yields at most one expression per
+such shape. Rules of more than MAX_LABELS labels (above what a host name may have)
+or paths above MAX_PATH characters are an error. Expressions and
 rules meet in an equi-join on the first eight hex digits of the SHA-256; the full
 digests confirm, and the longest rule wins.
 
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 
 from nearmesh.llm.common import ascii_lower
 
+#: A host name has at most 253 characters.
+MAX_LABELS, MAX_PATH = 128, 65_536
 RULE_SCHEMA = "host string, path string, verdict string"
 
 
@@ -51,11 +55,11 @@ def prepare_rules(rules: DataFrame) -> DataFrame:
         ascii_lower(F.col("host")).alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict")
     ).where("r_host is not null and r_path is not null and r_verdict is not null")
     one = rules.groupBy("r_host", "r_path").agg(F.min(F.struct((F.col("r_verdict") != "block").alias("no"), "r_verdict")).alias("v"))
-    digest = _digest(F.col("r_host"), F.col("r_path"))
+    digest, n = _digest(F.col("r_host"), F.col("r_path")), F.size(F.split("r_host", "[.]"))
     return one.select(
         F.concat("r_host", "r_path").alias("rule"),
         F.col("v.r_verdict").alias("verdict"),
-        F.size(F.split("r_host", "[.]")).alias("labels"),
+        F.when((n <= MAX_LABELS) & (F.length("r_path") <= MAX_PATH), n).otherwise(F.raise_error(F.lit("a rule's host or path is too long")).cast("int")).alias("labels"),
         F.length("r_path").alias("plen"),
         digest.alias("digest"),
         F.substring(digest, 1, 8).alias("prefix"),
@@ -68,17 +72,16 @@ def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: s
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(key).alias("k"), host.alias("host"), path.alias("path"))
     ready = prepare_rules(rules)
-    # Shapes are label counts with path lengths: a few hundred at most, however many rules there are.
-    pairs = sorted((r[0], r[1]) for r in ready.select("labels", "plen").distinct().collect())
-    shapes = F.array(*(F.struct(F.lit(a).alias("labels"), F.lit(b).alias("plen")) for a, b in pairs)).cast("array<struct<labels:int,plen:int>>")
+    # Shapes: the path lengths of the rules per number of host labels, one row for each number.
+    shapes = ready.groupBy("labels").agg(F.collect_set("plen").alias("plens"))
     found = (
         rows.select("host", "path").distinct()
-        .withColumn("n", F.size(F.split("host", "[.]")))
-        .withColumn("plen_all", F.length("path"))
-        .withColumn("s", F.explode(F.filter(shapes, lambda s: (s["labels"] <= F.col("n")) & (s["plen"] <= F.col("plen_all")))))
+        .withColumn("labels", F.explode(F.sequence(F.lit(1), F.least(F.size(F.split("host", "[.]")), F.lit(MAX_LABELS)))))
+        .join(F.broadcast(shapes), "labels")  # at most MAX_LABELS rows of MAX_PATH lengths
+        .withColumn("plen", F.explode(F.filter("plens", lambda n: n <= F.length("path"))))
         .select(
             "host", "path",
-            _digest(F.expr("substring_index(host, '.', -s.labels)"), F.expr("substring(path, 1, s.plen)")).alias("digest"),
+            _digest(F.expr("substring_index(host, '.', -labels)"), F.expr("substring(path, 1, plen)")).alias("digest"),
         )
         .withColumn("prefix", F.substring("digest", 1, 8))
     )

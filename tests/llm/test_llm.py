@@ -68,6 +68,49 @@ def test_tokens_round_trip_in_slot_order(spark, docs, tmp_path):
             assert parts[d][-1] == tokenizer.end and tokenizer.encoding.decode(parts[d][:-1]) == text
 
 
+def test_slots_do_not_depend_on_splits_and_repeated_tasks_write_the_same(spark, docs, tmp_path):
+    twice = docs.union(docs.where("doc_id % 9 = 0"))  # repeated rows too
+    rows = [sorted((r.slot, r.doc_id, r.seq_no, bytes(r.record)) for r in token_output.training_order(twice.repartition(n), 7, seq_len=64, per_shard=300).collect()) for n in (1, 5)]
+    assert rows[0] == rows[1]
+    # An independent computation: hash order, numbers in it, the permutation.
+    tokenizer, n, want = token_output.Tokenizer(open(token_output.VOCABULARY, "rb").read()), 0, []
+    texts = sorted((int.from_bytes(hashlib.blake2b(f"{i}:{t}".encode(), digest_size=8).digest(), "big") >> 1, i, t) for i, t in twice.select("doc_id", "text").collect() if t)
+    for _, i, t in texts:
+        ids = tokenizer.encoding.encode_ordinary(t) + [tokenizer.end]
+        want += [(i, q, ids[64 * q : 64 * q + 64]) for q in range(-(-len(ids) // 64))]
+    slots = permute(np.arange(len(want)), len(want), 7).tolist()
+    assert sorted((s, i, q) for s, (i, q, _) in zip(slots, want)) == [r[:3] for r in rows[0]]
+    assert all(np.frombuffer(dict((r[0], r[3]) for r in rows[0])[s], "<u2", len(x), 4).tolist() == x for s, (_, _, x) in list(zip(slots, want))[::50])
+    ordered = token_output.training_order(twice, 7, seq_len=64, per_shard=300)
+    folder, again = tmp_path / "a", []
+    for _ in range(2):  # the second run finds every shard there
+        assert token_output.with_shards(ordered, str(folder)).count() == len(want)
+        again.append({f.name: f.read_bytes() for f in folder.iterdir()})
+    assert again[0] == again[1] and len(again[0]) == -(-len(want) // 300)
+
+    class NoRename:  # a store whose rename fails if the file is there
+        def __init__(self, store):
+            self.store = store
+
+        def __getattr__(self, name):
+            return getattr(self.store, name)
+
+        def move(self, a, b):
+            raise OSError("exists")
+
+    from pyarrow import fs
+
+    store, temp = NoRename(fs.LocalFileSystem()), str(tmp_path / "t")
+    for size, fine in ((3, True), (4, False)):
+        open(temp, "wb").write(b"x" * size)
+        open(tmp_path / "done", "wb").write(b"xxx")
+        if fine:
+            token_output._settle(store, temp, str(tmp_path / "done"), size)
+        else:
+            with pytest.raises(OSError):
+                token_output._settle(store, temp, str(tmp_path / "done"), size)
+
+
 def test_pieces_equal_whole_encoding():
     tokenizer = token_output.Tokenizer(open(token_output.VOCABULARY, "rb").read())
     rng = random.Random(1)
@@ -183,6 +226,29 @@ def test_classifier_on_held_out_labels(spark):
     assert sum(r.keep == (r.quality > 0) for r in out) / len(out) > 0.95
 
 
+def test_sites_improve_decisions_on_weak_evidence(spark, docs, labels):
+    rng = random.Random(13)
+    rows, truth = [], {}
+    for h in range(80):  # good and bad hosts of 1 to 60 documents, some paths unlike their host
+        good, n = h % 2, 60 if h < 20 else rng.choice([1, 2, 3, 12])
+        for path in ("a", "b"):
+            share = 0.92 if good else 0.08
+            share = 1 - share if h < 6 and path == "b" else share
+            for _ in range(n):
+                y = rng.random() < share
+                rows.append((len(rows), f"h{h}", path, rng.gauss(0.9 if y else -0.9, 1.2)))
+                truth[len(rows) - 1] = y
+    scores = spark.createDataFrame(rows, "doc_id long, host string, path string, logit double")
+    out = quality.judged(scores).collect()
+    alone = sum((x > 0) == truth[i] for i, _, _, x in rows) / len(rows)
+    with_sites = sum(r.keep == truth[r.doc_id] for r in out) / len(rows)
+    assert len(out) == len(rows) and with_sites > alone + 0.03
+    # accepted() takes the decisions of classify(), whatever the key of the labels is called.
+    named = labels.withColumnRenamed("doc_id", "item")
+    kept = {r.doc_id for r in quality.classify(docs, named, label_id="item").collect() if r.keep}
+    assert {r.doc_id for r in quality.accepted(docs, named, label_id="item").collect()} == kept and 0 < len(kept) < docs.count()
+
+
 def test_sparse_sites_shrink(spark):
     rows = [("big", "p", 3.0)] * 200 + [("big", "p", -3.0)] * 20 + [("bad", "p", -3.0)] * 150 + [("tiny", "p", -3.0)]
     post = {r.host: r.host_posterior for r in quality.posteriors(spark.createDataFrame(rows, "host string, path string, logit double")).collect()}
@@ -319,7 +385,88 @@ def test_pseudonyms_keep_format_and_link(spark):
     assert pii.Pseudonyms(b"k", back=True).rewrite(new)[1] == text
 
 
+def test_pseudonyms_of_planted_values(spark):
+    rng = random.Random(11)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    mod97 = lambda s: int("".join(str(int(c, 36)) for c in s)) % 97
+
+    def iban():
+        body = rng.choice(["37040044", "WEST1234"]) + digits(rng.choice([8, 10, 11]))
+        value = f"DE{98 - mod97(body + 'DE00'):02d}{body}"
+        return value if rng.random() < 0.5 else " ".join(value[i : i + 4] for i in range(0, len(value), 4))
+
+    def card():
+        body = digits(15)
+        full = body + next(c for c in "0123456789" if sum(int(x) if i % 2 else sum(divmod(2 * int(x), 10)) for i, x in enumerate(body + c)) % 10 == 0)
+        return rng.choice(["", "-", " ", "."]).join(full[i : i + 4] for i in range(0, 16, 4))
+
+    makers = {
+        "iban": iban, "card": card, "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
+        "ssn": lambda: f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}",
+        "phone": lambda: rng.choice([f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{digits(4)}", f"+49 30 {digits(7)}", f"+44 (20) 7946 {digits(4)}", f"+358 9 {digits(3)} {digits(4)}", "+4930" + digits(7)]),
+        "date": lambda: f"{rng.randint(1950, 2020)}{(sep := rng.choice('-/.'))}{rng.randint(1, 12):02d}{sep}{rng.randint(1, 28):02d}",
+        "email": lambda: f"u{digits(3)}.x@mail{digits(1)}.example.org",
+    }
+    rows, want, values = [], {}, {}
+    for i in range(200):
+        text, spans = "", []
+        for kind in rng.choices(list(makers), k=rng.randint(0, 6)):
+            text += rng.choice(["See ", "für é ", "12 apples, "])
+            value = makers[kind]()
+            spans.append((kind, len(text), len(text) + len(value)))
+            values.setdefault((kind, value), []).append((i, len(spans) - 1))
+            text += value + rng.choice([" now. ", ", ", "; "])
+        rows.append((i, text))
+        want[i] = spans
+    got = {r.doc_id: r for r in pii.pseudonymise(made(spark, rows), b"k").collect()}
+    bare = lambda s: re.sub(r"[^0-9A-Za-z]", "", s)
+    images, texts = {}, dict(rows)
+    for i, spans in want.items():
+        assert got[i].spans == ",".join(f"{k}:{a}:{b}" for k, a, b in spans) and got[i].n_pii == len(spans)
+        at, rest, new = 0, [], got[i].text
+        assert len(new) == len(texts[i]) or any(k == "ip" for k, _, _ in spans)
+        shift = 0
+        for k, a, b in spans:  # what lies outside the spans stays; equal values have one image
+            assert new[at + shift : a + shift] == texts[i][at:a]
+            old = texts[i][a:b]
+            end = b + shift if k != "ip" else a + shift + re.match(r"[0-9.]*[0-9]", new[a + shift :]).end()
+            image, shift, at = new[a + shift : end], shift + (end - b - shift), b
+            assert re.sub("[0-9]+" if k == "ip" else "[0-9A-Za-z]", "", image) == re.sub("[0-9]+" if k == "ip" else "[0-9A-Za-z]", "", old)
+            key = bare(old) if k in ("card", "iban", "phone") else old
+            assert images.setdefault((k, key), bare(image) if k in ("card", "iban", "phone") else image) == (bare(image) if k in ("card", "iban", "phone") else image)
+            if k == "iban":
+                assert mod97(bare(image)[4:] + bare(image)[:4]) == 1
+            if k == "card":
+                assert sum(int(x) if n % 2 else sum(divmod(2 * int(x), 10)) for n, x in enumerate(bare(image))) % 10 == 0
+            if k == "ip":
+                assert all(int(x) < 256 for x in image.split("."))
+        assert new[at + shift :] == texts[i][at:]
+    assert all(len({v for (k, _), v in images.items() if k == kind}) == sum(k == kind for k, _ in images) for kind in makers)  # one to one
+    back = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame([(r.doc_id, r.text) for r in got.values()], "doc_id long, text string"), b"k", reveal=True).collect()}
+    assert back == texts
+
+
 # 9
+def test_markov_spans_outside_the_base_on_planted_tokens(spark, docs):
+    rng = random.Random(12)
+    alphabets = (secrets.ALPHABET[:62], secrets.ALPHABET[26:62], secrets.ALPHABET[:62] + "+/")
+    plain = [r[0] for r in docs.select(F.explode(F.split("text", "[^A-Za-z]+"))).where("length(col) > 2").limit(4000).collect()]
+    rows, planted = [], {}
+    for i in range(300):
+        words = [rng.choice(plain) for _ in range(30)]
+        words.insert(9, rng.choice(["_", "-", "/"]).join(rng.choice(plain).lower() for _ in range(6)))  # a long ordinary identifier
+        if i % 2:
+            token = "".join(rng.choice(alphabets[i % 3]) for _ in range(rng.randint(28, 44)))
+            words.insert(20, token)
+            planted[i] = token
+        rows.append((i, " ".join(words)))
+    texts = dict(rows)
+    out = secrets.scan_secrets(made(spark, rows), secrets.default_samples(docs)).collect()
+    found = [(r.doc_id, texts[r.doc_id][s.start : s.end]) for r in out for s in r.markov]
+    right = sum(planted.get(i) == t for i, t in found)
+    assert right / len(planted) >= 0.95 and right / len(found) >= 0.95  # recall, precision
+
+
 def test_secrets_against_brute_force(spark, docs):
     rng = random.Random(3)
     bits = ["password", "Token", "api_key", "APIKEY", "secret", " = ", ": ", "=", '"', "'", "abcdef0123456789ab", "AKIA", "ABCDEFGHIJ1234", "x", " ", "é", "hello_world"]
@@ -367,7 +514,34 @@ def test_large_finite_vectors_take_part_and_do_not_wrap(spark):
     assert topk_search._scores(even, even)[0, 0] == 4 * (3 * 2**29) ** 2
 
 
+def test_query_blocks_and_empty_tables_of_top_k(spark):
+    rng = random.Random(14)
+    df = spark.createDataFrame([(i % 30, [float(rng.randint(-3, 3)) for _ in range(4)], i) for i in range(70)], "vec_id long, embedding array<float>, score int")
+    whole = sorted(map(tuple, topk_search.top_k(df, df.where("vec_id % 3 = 0"), 5).collect()))
+    assert sorted(map(tuple, topk_search.top_k(df, df.where("vec_id % 3 = 0"), 5, queries_per_block=4).collect())) == whole
+    assert topk_search.top_k(df, df.limit(0)).count() == topk_search.top_k(df.limit(0), df).count() == 0
+
+
 # 10
+def test_targets_topics_and_residuals(spark, docs):
+    topics = docs.withColumn("kind", F.when(F.col("doc_id") % 3 == 0, "x").otherwise("y"))
+    goal = {"topic": spark.createDataFrame([("x", 3.0), ("y", 1.0), ("none", 5.0)], "value string, share double")}
+    out = mixing.mix(topics, goal, topic="kind").collect()
+    kept = collections.Counter()
+    for r in out:
+        kept[r.topic] += r.rate * r.n_tokens
+    assert kept["x"] / (kept["x"] + kept["y"]) == pytest.approx(0.75, abs=0.02)
+    sampled = {r.doc_id for r in out if r.sampled}
+    assert {r.doc_id for r in mixing.mixed(topics, goal, topic="kind").collect()} == sampled and sampled
+    # Source a has language x only and b y only: no weights meet both targets.
+    cells = spark.createDataFrame([("a", "x", "t", 5.0), ("b", "y", "t", 5.0)], "source string, lang string, topic string, t double")
+    hard = {"source": spark.createDataFrame([("a", 0.9), ("b", 0.1)], "value string, share double"), "lang": spark.createDataFrame([("x", 0.2), ("y", 0.8)], "value string, share double")}
+    rest = {(r.dim, r.value): r.residual for r in mixing.residuals(mixing.rake(cells, hard), hard).collect()}
+    assert rest["lang", "x"] == pytest.approx(0, abs=1e-9) and rest["source", "a"] == pytest.approx(0.7, abs=1e-6)
+    fine = mixing.residuals(mixing.rake(mixing.cell_table(docs.select("source", "lang", F.lit("t").alias("topic"), mixing.n_words(F.col("text")).alias("n_tokens")))))
+    assert fine.agg(F.max("residual")).first()[0] < 0.02
+
+
 def test_raked_weights_meet_targets(spark):
     rows = [(s, g, t, 10.0 * (i + 1)) for i, (s, g, t) in enumerate((s, g, t) for s in "abc" for g in "xy" for t in ("short", "long"))]
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, t double")
