@@ -605,8 +605,38 @@ def test_pipeline_stages(spark):
     import corpus_pipeline
 
     d = spark.read.parquet(f"{SF}/documents.parquet")
+    bench = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     for name, stage in corpus_pipeline.STAGES:
-        before, d = d, stage(spark, d, SF)
-        if name != "token_output":
-            assert d.columns == ["doc_id", "text", "lang", "source", "n_chars"] and 0 < d.count() <= before.count()
-    assert d.count() > 0
+        before, d = d, stage(spark, d, SF).cache()
+        rows = {r.doc_id: r.text for r in before.select("doc_id", "text").collect()}
+        if name == "token_output":
+            break
+        kept = {r.doc_id for r in d.collect()}
+        assert d.columns == ["doc_id", "text", "lang", "source", "n_chars"] and 0 < len(kept) <= len(rows) and kept <= set(rows)
+        if name == "quality_classifier":
+            lab = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.doc_id in rows}
+            assert sum((i in kept) == (y > 0) for i, y in lab.items()) / len(lab) > 0.95
+        if name == "minhash_near_dedup":
+            assert kept == set(brute_classes(list(rows.items())).values())
+        if name == "decontaminate":
+            hit = {i: brute_contamination(t, list(bench.items())) for i, t in rows.items()}
+            assert kept == {i for i, h in hit.items() if not (h[1] and 20 * h[1] >= h[0])}
+        if name == "mixing":
+            assert kept == {r.doc_id for r in mixing.mix(before).collect() if r.sampled}
+    assert sorted(r.slot for r in d.select("slot").collect()) == list(range(d.count()))
+    assert {r.doc_id for r in d.select("doc_id").distinct().collect()} == {i for i, t in rows.items() if t}
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    for case, n in (("odd", None), ("empty", 0)):
+        sf = tmp_path / case
+        for name, df in (("documents", odd), ("labels", spark.read.parquet(f"{SF}/labels.parquet")), ("benchmark", spark.read.parquet(f"{SF}/benchmark.parquet"))):
+            (df.limit(0) if n == 0 else df).write.parquet(str(sf / f"{name}.parquet"))
+        d = spark.read.parquet(str(sf / "documents.parquet"))
+        for name, stage in corpus_pipeline.STAGES:
+            before, d = d.count(), stage(spark, d, str(sf))
+            if name != "token_output":
+                assert d.columns == odd.columns and d.count() <= before
+        assert d.count() >= 0 if n is None else d.count() == 0
