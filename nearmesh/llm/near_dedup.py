@@ -231,6 +231,7 @@ def _with_text(placed: DataFrame, nodes: DataFrame, docs: DataFrame, *columns: s
 def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of hubs and members whose texts are similar enough. ``docs``: columns id, text."""
     large = pairs.groupBy("a").count().where(F.col("count") > STAR).select("a", F.ceil(F.col("count") / STAR).cast("int").alias("n"))
+    large = write_table(large, "large")  # its size is known when the join is planned
     parts = pairs.join(large, "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("n", F.lit(1))).cast("int").alias("part"), "b")
     hubs = parts.select("a", "part").distinct().select("a", "part", F.lit(False).alias("other"), F.col("a").alias("node"))
     placed = hubs.unionByName(parts.select("a", "part", F.lit(True).alias("other"), F.col("b").alias("node")))
@@ -362,7 +363,9 @@ def _labels(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     # Hubs are settled. A bucket whose other members have several labels is not: its nodes meet in a cluster.
     named = members.join(labels, "node", "left").select("key", "hub", "node", F.coalesce("label", "node").alias("label"))
     open_ = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    edges = write_table(members.join(open_, "key", "left_semi").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "open")
+    open_ = write_table(open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "open")  # a bucket may be large
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    edges = write_table(salted.join(open_, ["key", "salt"], "left_semi").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "edges")
     if edges.isEmpty():
         return labels
     clusters = components(edges).select("node", F.col("label").alias("cluster")).join(nodes.select("node", "size"), "node")
