@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,4 +26,11 @@ def slices(batches, column: int, most: int = SLICE_BYTES):
     for batch in batches:
         for begin, length in cuts(batch.column(column), most):
             yield batch.slice(begin, length)
+    give_back()
+
+
+def give_back() -> None:
+    """Return free memory of this worker to the system: workers stay idle between tasks beside the executor's JVM."""
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no C library that can
+        ctypes.CDLL(None).malloc_trim(0)

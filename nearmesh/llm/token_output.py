@@ -47,7 +47,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Where a cut before a space could split a run of white space.
 _RUNS = re.compile(r"\s \s|  ")
-_CACHED = 700_000
+_CACHED = 250_000
 #: Least records of a shard, and most shards.
 PER_SHARD, MAX_SHARDS = 16_384, 65_536
 _loaded: dict[str, "Tokenizer"] = {}
