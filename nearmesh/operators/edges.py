@@ -105,6 +105,14 @@ def to_wide(edges: DataFrame, ids: DataFrame, k: int, fill: int = -1) -> DataFra
     return out.select("id", F.slice(F.concat(row, pad), 1, k).alias("neighbours"))
 
 
+def to_wide_distances(edges: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, dists): one array of k distances per node, padded with infinity."""
+    lists = edges.where(F.col("rank") < k).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("rank", "dist"))).alias("s"))
+    row = F.coalesce(F.transform("s", lambda e: e["dist"]), F.array().cast("array<double>"))
+    pad = F.array_repeat(F.lit(float("inf")), k)
+    return ids.select("id").join(lists, F.col("id") == F.col("src"), "left").select("id", F.slice(F.concat(row, pad), 1, k).alias("dists"))
+
+
 def from_wide(wide: DataFrame) -> DataFrame:
     """(src, rank, dst) of (id, neighbours), padding dropped."""
     return wide.select(F.col("id").alias("src"), F.posexplode("neighbours").alias("rank", "dst")).where("dst >= 0")

@@ -16,18 +16,19 @@ def adjacency(bucket_graph: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def greedy_order(adj: dict[int, list[int]], buckets: list[int], window: int) -> list[int]:
-    """Greedy order: next is the unplaced bucket that shares most neighbours with the last ``window`` placed.
+    """Greedy order: next is the unplaced bucket that shares most neighbours with the last ``window`` (at least 1) placed.
 
-    Start: largest out-degree, ties to the smallest id. Ties of scores go to the
-    largest id; without any scored candidate the smallest remaining id follows.
+    Start: largest out-degree, ties to the smallest id. Candidates are all buckets that
+    have ever shared a neighbour with a placed one, also at a score fallen to 0; ties
+    go to the largest id. Without a candidate the smallest remaining id follows.
     """
+    window = max(1, window)
     users = defaultdict(set)
     for b, nbs in adj.items():
         for x in nbs:
             users[x].add(b)
     left = set(buckets)
-    smallest = list(left)
-    heapq.heapify(smallest)
+    smallest = sorted(left, reverse=True)
     score: dict[int, int] = defaultdict(int)
     heap: list[tuple[int, int]] = []
 
@@ -43,18 +44,18 @@ def greedy_order(adj: dict[int, list[int]], buckets: list[int], window: int) ->
         pick = None
         if not order:
             pick = min(left, key=lambda b: (-len(adj.get(b, ())), b))
+        elif len(order) > window:
+            weigh(order[-window - 1], -1)
         while pick is None and heap:
             s, u = heapq.heappop(heap)
-            if -u in left and score[-u] == -s and s < 0:
+            if -u in left and score[-u] == -s:  # else placed or outdated
                 pick = -u
         while pick is None:
-            pick = heapq.heappop(smallest)
+            pick = smallest.pop()
             pick = pick if pick in left else None
         left.discard(pick)
         order.append(pick)
         weigh(pick, 1)
-        if len(order) > window:
-            weigh(order[-window - 1], -1)
     return order
 
 
@@ -75,32 +76,45 @@ def future_access(order: DataFrame, bucket_graph: DataFrame) -> DataFrame:
     return both.groupBy("bucket_id").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
 
 
-def belady(order: list[int], adj: dict[int, list[int]], sizes: dict[int, int], capacity: int) -> dict[str, int]:
+def belady(order: list[int], adj: dict[int, list[int]], sizes: dict[int, int], capacity: int, pin: bool = False) -> dict[str, int]:
     """Hits, misses and evictions of an optimal offline cache; ties evict the higher id.
 
-    The buckets of the current place are pinned only as long as something else can
-    go; one entry above the capacity is allowed.
+    A bucket larger than the capacity is loaded into an emptied cache. With ``pin``
+    the buckets already used at the current place stay, if need be above the capacity.
     """
     future: dict[int, list[int]] = defaultdict(list)
     for pos, b in enumerate(order):
         for x in sorted({b, *adj.get(b, ())}):
             future[x].append(pos)
-    held: dict[int, int] = {}
+    held: dict[int, int] = {}  # the next use of each bucket in the cache
+    heap: list[tuple[float, int]] = []
     used = hits = misses = evictions = 0
     at: dict[int, int] = defaultdict(int)
     for pos, b in enumerate(order):
+        now: set[int] = set()
         for x in sorted({b, *adj.get(b, ())}):
             at[x] += 1
             if x in held:
                 hits += 1
-                continue
-            misses += 1
-            while held and used + sizes[x] > capacity:
-                worst = max(held, key=lambda y: (future[y][at[y]] if at[y] < len(future[y]) else float("inf"), y))
-                used -= held.pop(worst)
-                evictions += 1
-            held[x] = sizes[x]
-            used += sizes[x]
+            else:
+                misses += 1
+                aside = []
+                while heap and used + sizes[x] > capacity:
+                    use, worst = heapq.heappop(heap)
+                    if held.get(-worst) != -use:
+                        continue  # outdated
+                    if pin and -worst in now:
+                        aside.append((use, worst))
+                        continue
+                    used -= sizes[-worst]
+                    del held[-worst]
+                    evictions += 1
+                for entry in aside:
+                    heapq.heappush(heap, entry)
+                used += sizes[x]
+            now.add(x)
+            held[x] = future[x][at[x]] if at[x] < len(future[x]) else float("inf")
+            heapq.heappush(heap, (-held[x], -x))
     return {"hits": hits, "misses": misses, "evictions": evictions}
 
 
@@ -133,13 +147,25 @@ def reorder_vectors(vectors: DataFrame, perm: DataFrame, partitions: int | None
 
 
 def remap_graph(edges: DataFrame, perm: DataFrame) -> DataFrame:
-    """Edges under new ids; a neighbour without a new id becomes -1."""
+    """Edges under new ids; a neighbour without a new id becomes -1 (``unassigned`` counts them)."""
     a = perm.select(F.col("old_id").alias("src"), F.col("new_id").alias("ns"))
     b = perm.select(F.col("old_id").alias("dst"), F.col("new_id").alias("nd"))
     out = edges.join(a, "src").join(b, "dst", "left")
     return out.select(F.col("ns").alias("src"), "rank", F.coalesce("nd", F.lit(-1)).alias("dst"), *[c for c in edges.columns if c not in ("src", "rank", "dst")])
 
 
+def unassigned(edges: DataFrame, perm: DataFrame) -> DataFrame:
+    """One row: edges, those of sources without a new id, those of neighbours (0 and above) without one."""
+    ids = perm.select(F.col("old_id").alias("id"), F.lit(True).alias("ok"))
+    out = edges.join(ids.withColumnsRenamed({"id": "src", "ok": "s_ok"}), "src", "left").join(ids.withColumnsRenamed({"id": "dst", "ok": "d_ok"}), "dst", "left")
+    return out.agg(F.count("*").alias("edges"), F.count_if(F.col("s_ok").isNull()).alias("sources"), F.count_if(F.col("d_ok").isNull() & (F.col("dst") >= 0)).alias("neighbours"))
+
+
 def translate_graph(edges: DataFrame, perm: DataFrame) -> DataFrame:
-    """Edges under the old ids; -1 stays."""
-    return remap_graph(edges, perm.select(F.col("new_id").alias("old_id"), F.col("old_id").alias("new_id")))
+    """Edges under the old ids; -1 stays, any other id outside the permutation is an error when the result is computed."""
+    back = perm.select(F.col("new_id").alias("n"), F.col("old_id").alias("o"))
+    a, b = back.withColumnsRenamed({"n": "src", "o": "os"}), back.withColumnsRenamed({"n": "dst", "o": "od"})
+    out = edges.join(a, "src", "left").join(b, "dst", "left")
+    known = F.col("os").isNotNull() & (F.col("od").isNotNull() | (F.col("dst") == -1))
+    out = out.where(F.assert_true(known, "an id is outside the permutation").isNull())
+    return out.select(F.col("os").alias("src"), "rank", F.coalesce("od", F.lit(-1)).alias("dst"), *[c for c in edges.columns if c not in ("src", "rank", "dst")])

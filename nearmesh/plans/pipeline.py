@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from nearmesh.operators import cluster, descent, edges, knn, prune
 from nearmesh.session import materialise
@@ -33,3 +34,11 @@ def build_descent_graph(vectors: DataFrame, n: int, m: int, degree: int, iterati
     """The comparison path: NN-descent, stable sort, prune, reverse merge."""
     graph = edges.sort_rows(descent.nn_descent(vectors, n, m, iterations))
     return edges.protected_reverse_merge(materialise(prune.detour_prune(graph, degree).select("src", "rank", "dst", "dist")), degree)
+
+
+def build_partitioned(vectors: DataFrame, parts: int, m: int, seed: int = 0) -> DataFrame:
+    """(src, rank, dst, dist): every row joins its two nearest of ``parts`` partitions; exact neighbours within each, merged."""
+    cents = cluster.kmeans_parallel(vectors, parts, seed)
+    placed = materialise(knn.assign_nearest(vectors, cents, k=2).select("id", "bucket_id"), "placed")
+    own = cents.select("bucket_id", F.col("bucket_id").alias("visible_bucket"))
+    return edges.merge_rounds([materialise(knn.bucketed_knn(vectors, placed, own, 2 * m), "near")], m)
