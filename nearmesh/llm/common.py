@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +51,22 @@ def same(a, b):
 def ascii_lower(col):
     """Lower-case A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Parts that the rows of one key are dealt to by ``looked_up``.
+SALTS = 16
+
+
+def looked_up(rows: DataFrame, side: DataFrame, on: list[tuple[str, str]], small: bool) -> DataFrame:
+    """Left join, null-safe on pairs of columns, to a table with one row per key.
+
+    A ``small`` (counted) side is broadcast. Otherwise each of its rows is repeated SALTS
+    times and the rows are dealt evenly among the copies, so a hot key is many tasks.
+    """
+    keys = [F.col(a).eqNullSafe(F.col(b)) for a, b in on]
+    if small:
+        return rows.join(F.broadcast(side), reduce(lambda x, y: x & y, keys), "left")
+    salt, copy = fresh(rows, "nm_salt", "nm_copy")
+    dealt = rows.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    copies = side.withColumn(copy, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(copies, reduce(lambda x, y: x & y, [*keys, F.col(salt) == F.col(copy)]), "left").drop(salt, copy)

@@ -20,7 +20,7 @@ Scale: cells are summed map-side; a hot source is one cell per language and
 topic. Raking runs on the cell table alone: in one task while the counted cells
 are at most ``one_task_cells`` (no shuffle per round), else distributed. Lineage is
 cut every four rounds. Cells reach the documents by a join, a broadcast only below
-the same counted bound.
+the same counted bound, beyond it dealt to several copies of each cell.
 
 Defined cases: null source, language or topic is a value of its own; a value
 without a target gets share 0 and is never sampled, a target without documents is
@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearmesh.llm.common import fresh, write_table
+from nearmesh.llm.common import fresh, looked_up, write_table
 
 WORD = "[^ \\n\\t\\r\\f]+"
 ALPHAS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
@@ -134,11 +134,11 @@ def _with_keys(docs: DataFrame, text: str, source: str, lang: str, topic: str |
     return out.withColumn(names[1], F.col(source).cast("string")).withColumn(names[2], F.col(lang).cast("string")).withColumn(names[3], kind), names
 
 
-def _meet(rows: DataFrame, keys: list[str], cells: DataFrame, one_task_cells: int) -> DataFrame:
-    side = cells.select(*(F.col(c).alias(f"c_{c}") for c in ("source", "lang", "topic")), F.col("w").alias("c_w"), F.col("rate").alias("c_rate"))
-    side = F.broadcast(side) if side.count() <= one_task_cells else side
-    on = [rows[k].eqNullSafe(side[f"c_{c}"]) for k, c in zip(keys, ("source", "lang", "topic"))]
-    return rows.join(side, on[0] & on[1] & on[2], "left")
+def _meet(rows: DataFrame, keys: list[str], cells: DataFrame, one_task_cells: int) -> tuple[DataFrame, str]:
+    """``rows`` with the rate of their cell, and the name of that column."""
+    names = fresh(rows, "nm_c_source", "nm_c_lang", "nm_c_topic", "nm_w", "nm_rate")
+    side = write_table(cells.select(*(F.col(a).alias(b) for a, b in zip(("source", "lang", "topic", "w", "rate"), names))), "rates")
+    return looked_up(rows, side, list(zip(keys, names[:3])), side.count() <= one_task_cells).drop(*names[:4]), names[4]
 
 
 def mix(
@@ -149,8 +149,8 @@ def mix(
     keyed, k = _with_keys(docs, text, source, lang, topic)
     rows = keyed.select(F.col(doc_id).alias("doc_id"), *(F.col(a).alias(b) for a, b in zip(k, ("n_tokens", "source", "lang", "topic"))))
     rows = write_table(rows, "words")
-    out = _meet(rows, ["source", "lang", "topic"], rake(cell_table(rows), targets, rounds, one_task_cells, least), one_task_cells)
-    rate = F.when(F.col("n_tokens") > 0, F.coalesce("c_rate", F.lit(0.0))).otherwise(0.0)
+    out, own = _meet(rows, ["source", "lang", "topic"], rake(cell_table(rows), targets, rounds, one_task_cells, least), one_task_cells)
+    rate = F.when(F.col("n_tokens") > 0, F.coalesce(own, F.lit(0.0))).otherwise(0.0)
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round(rate, 6).alias("rate"), (uniform(F.col("doc_id")) < rate).alias("sampled"))
 
 
@@ -161,8 +161,8 @@ def mixed(
     """The sampled rows of ``docs``, with the columns of ``docs``; texts are not shuffled while the cells are few."""
     keyed, k = _with_keys(docs, text, source, lang, topic)
     sums = keyed.select(*(F.col(a).alias(b) for a, b in zip(k, ("n_tokens", "source", "lang", "topic"))))
-    out = _meet(keyed, k[1:], rake(cell_table(sums), targets, rounds, one_task_cells, least), one_task_cells)
-    return out.where((F.col(k[0]) > 0) & (uniform(keyed[doc_id]) < F.coalesce("c_rate", F.lit(0.0)))).select(*(keyed[c] for c in docs.columns))
+    out, own = _meet(keyed, k[1:], rake(cell_table(sums), targets, rounds, one_task_cells, least), one_task_cells)
+    return out.where((F.col(k[0]) > 0) & (uniform(F.col(doc_id)) < F.coalesce(own, F.lit(0.0)))).select(*(F.col(c) for c in docs.columns))
 
 
 def oracle() -> str:

@@ -386,9 +386,12 @@ def _classes(docs: DataFrame, doc_id: str, text: str, threshold: float):
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     rows, nodes = _nodes_and_rows(docs)
     labels = _labels(docs, nodes, threshold)
-    label = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    names = label.groupBy("label").agg(F.min("rep").alias("class_id"), F.min(F.struct(F.col("rep").isNull(), "rep", "node")).alias("first"))
-    return rows, write_table(label.join(names, "label").select("node", "rep", "class_id", (F.col("node") == F.col("first.node")).alias("is_first")), "classes")
+    alone = nodes.select("node", "rep").join(labels, "node", "left_anti").select("node", "rep", F.col("rep").alias("class_id"), F.lit(True).alias("is_first"))
+    linked = nodes.select("node", "rep").join(labels, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    names = linked.groupBy("label").agg(F.min("rep").alias("class_id"), F.min(F.struct(F.col("rep").isNull(), "rep", "node")).alias("first"))
+    names = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a class may be large
+    named = linked.join(names, ["label", "salt"]).select("node", "rep", "class_id", (F.col("node") == F.col("first.node")).alias("is_first"))
+    return rows, write_table(alone.unionByName(named), "classes")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -409,7 +412,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     worded = rows.where("node is not null")
     first = classes.where("is_first").select("node", "rep")
     losers = worded.join(first, "node", "left_anti").unionByName(worded.join(first, "node").where("not (doc_id <=> rep)").select("doc_id", "node"))
-    i, n = fresh(docs, "nm_id", "nm_node")
+    i, n, fn, fr = fresh(docs, "nm_id", "nm_node", "nm_first", "nm_rep")
     keyed = docs.withColumn(i, F.col(doc_id).cast("long"))
     per_id = rows.groupBy("doc_id").agg(F.count("*").alias("c"), F.count("node").alias("w"))
     if per_id.where("w > 0 and (c > 1 or doc_id is null)").isEmpty():  # ids tell rows apart
@@ -420,7 +423,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
         return pa.array([node_of(t) for a, k in cuts(texts) for t in texts.slice(a, k).to_pylist()], pa.binary())
 
     keyed = keyed.withColumn(n, F.arrow_udf(digests, "binary")(F.col(text)))
-    kept = keyed.where(F.col(n).isNotNull()).join(first.select(F.col("node").alias("f_node"), F.col("rep").alias("f_rep")), (F.col(n) == F.col("f_node")) & keyed[i].eqNullSafe(F.col("f_rep")), "left_semi")
+    kept = keyed.where(F.col(n).isNotNull()).join(first.select(F.col("node").alias(fn), F.col("rep").alias(fr)), (F.col(n) == F.col(fn)) & F.col(i).eqNullSafe(F.col(fr)), "left_semi")
     return kept.dropDuplicates([n]).select(*docs.columns).unionByName(keyed.where(F.col(n).isNull()).select(*docs.columns))
 
 

@@ -14,7 +14,7 @@ The documents table has no URL, so the query takes ``source`` as host and
 Scale: group sums are combined map-side, so one source with a third of the rows
 costs nothing extra. The posteriors of all groups go back to the rows by a join
 that is a broadcast only when the counted groups fit ``broadcast_groups``;
-beyond that Catalyst joins them.
+beyond that the rows of a hot group are dealt to several copies of its posterior.
 
 Defined cases: texts that are null or without words are rejected; null hosts and
 paths are groups of their own; labels without an id or a label are not used; of
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearmesh.llm.batches import cuts
-from nearmesh.llm.common import WORD_BYTES, fresh, write_table
+from nearmesh.llm.common import WORD_BYTES, fresh, looked_up, write_table
 
 NO_WORDS = -30.0
 _SYMBOLS = b"#$%&*|!~^<>{}[]=+@_\\/"
@@ -175,9 +175,9 @@ def posteriors(scores: DataFrame) -> DataFrame:
 
 
 def _joined(rows: DataFrame, groups: DataFrame, host: str, path: str, broadcast_groups: int) -> DataFrame:
-    side = groups.withColumnsRenamed({"host": "nm_host", "path": "nm_path"})
-    side = F.broadcast(side) if groups.count() <= broadcast_groups else side
-    return rows.join(side, rows[host].eqNullSafe(side["nm_host"]) & rows[path].eqNullSafe(side["nm_path"]), "left")
+    h, p = fresh(rows, "nm_host", "nm_path")
+    side = groups.withColumnsRenamed({"host": h, "path": p})
+    return looked_up(rows, side, [(host, h), (path, p)], groups.count() <= broadcast_groups)
 
 
 def classify(
@@ -209,8 +209,8 @@ def accepted(
     model = train(docs, labels, doc_id, text, sample_docs=sample_docs, label_id=label_id)
     h, p, logit = F.col(host).cast("string"), F.col(path).cast("string"), evidence(model)(F.col(text))
     groups = posteriors(docs.select(h.alias("host"), p.alias("path"), logit.alias("logit")))
-    a, b, c = fresh(docs, "nm_h", "nm_p", "nm_logit")
+    a, b, c, d = fresh(docs, "nm_h", "nm_p", "nm_logit", "nm_offset")
     rows = docs.withColumn(a, h).withColumn(b, p).withColumn(c, logit)
-    out = _joined(rows, groups.select("host", "path", F.col("offset").alias("nm_offset")), a, b, broadcast_groups)
-    score = _sigmoid(rows[c] + F.coalesce(F.col("nm_offset"), F.lit(0.0)))
-    return out.where(score >= threshold).select(*(rows[x] for x in docs.columns))
+    out = _joined(rows, groups.select("host", "path", F.col("offset").alias(d)), a, b, broadcast_groups)
+    score = _sigmoid(F.col(c) + F.coalesce(F.col(d), F.lit(0.0)))
+    return out.where(score >= threshold).select(*(F.col(x) for x in docs.columns))

@@ -31,7 +31,7 @@ def odd(spark):
     """Nulls, empty and long texts, ties, repeated rows and columns with clashing names."""
     rows = [(1, None), (2, ""), (3, " .\n"), (4, "one two three four five six"), (4, "one two three four five six"), (None, "a b"), (5, "x" * 200_000), (6, "word " * 60_000)]
     df = made(spark, rows)
-    for c in ("node", "score", "shard", "keep", "key", "items", "w", "rate", "label", "nm_id"):
+    for c in ("node", "score", "shard", "keep", "key", "items", "w", "rate", "label", "nm_id", "nm_rate", "nm_offset", "nm_host", "nm_first", "nm_salt"):
         df = df.withColumn(c, F.lit(1))
     return df.withColumn("source", F.lit(None).cast("string"))
 
@@ -542,6 +542,16 @@ def test_targets_topics_and_residuals(spark, docs):
     assert fine.agg(F.max("residual")).first()[0] < 0.02
 
 
+def test_many_cells_and_groups_are_joined_alike(spark, docs, labels):
+    with_nulls = docs.withColumn("source", F.when(F.col("doc_id") % 7 > 0, F.col("source")))
+    rates = [sorted(map(repr, mixing.mix(with_nulls, one_task_cells=n).collect())) for n in (100_000, 1)]
+    assert len(rates[0]) == docs.count() and [r.split("rate=")[0] for r in rates[0]] == [r.split("rate=")[0] for r in rates[1]]
+    kept = [{r.doc_id for r in mixing.mixed(with_nulls, one_task_cells=n).collect()} for n in (100_000, 1)]
+    assert kept[0] == kept[1]
+    good = [sorted(r.doc_id for r in quality.accepted(with_nulls, labels, broadcast_groups=n).collect()) for n in (100_000, 0)]
+    assert good[0] == good[1]
+
+
 def test_raked_weights_meet_targets(spark):
     rows = [(s, g, t, 10.0 * (i + 1)) for i, (s, g, t) in enumerate((s, g, t) for s in "abc" for g in "xy" for t in ("short", "long"))]
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, t double")
