@@ -47,7 +47,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Where a cut before a space could split a run of white space.
 _RUNS = re.compile(r"\s \s|  ")
-_CACHED = 250_000
+_CACHED = 200_000
 #: Least records of a shard, and most shards.
 PER_SHARD, MAX_SHARDS = 16_384, 65_536
 _loaded: dict[str, "Tokenizer"] = {}
@@ -80,16 +80,22 @@ class Tokenizer:
         first, *rest = text.split(" ")
         cache = self.cache
         if len(cache) > _CACHED:
-            cache.clear()
+            cache.turn()
         return cache[first] + b"".join([cache[" " + x] for x in rest]) + last
 
 
 class _Pieces(dict):
+    """Two generations: what is still asked for survives when the younger one is full."""
+
     def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
+        self.tokenizer, self.old = tokenizer, {}
+
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
 
     def __missing__(self, piece: str) -> bytes:
-        got = self.tokenizer.pack(piece)
+        got = self.old.get(piece) or self.tokenizer.pack(piece)
         if len(piece) < 64:
             self[piece] = got
         return got
