@@ -136,14 +136,22 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     return wide.select(F.col("id").alias("qid"), F.posexplode("vec").alias("rank", "id"))
 
 
-def read_graph(spark: SparkSession, path: str, rows_per_task: int = 100_000, start: int = 0, count: int | None = None) -> DataFrame:
-    """(src, rank, dst) of a graph or candidate file; ids are unsigned, padding (all bits set, which is also -1) is dropped."""
+def graph_shape(path: str) -> tuple[int, int]:
+    """(N, K) of a graph or candidate file, checked against its length, or of a two-dimensional .npy."""
+    if path.endswith(".npy"):
+        return _npy_header(path)[0]
     store, name = _fs(path)
     with store.open_input_file(name) as f:
         head = f.read(12)
         n, k = int(np.frombuffer(head[:8], "<i8")[0]), int(np.frombuffer(head[8:], "<i4")[0])
         if n < 0 or k <= 0 or f.size() != 12 + 4 * n * k:
             raise ValueError(f"{path}: bad header or length")
+    return n, k
+
+
+def read_graph(spark: SparkSession, path: str, rows_per_task: int = 100_000, start: int = 0, count: int | None = None) -> DataFrame:
+    """(src, rank, dst) of a graph or candidate file; ids are unsigned, padding (all bits set, which is also -1) is dropped."""
+    n, k = graph_shape(path)
     end = n if count is None else min(n, start + count)
     wide = _scan(spark, path, start, end, rows_per_task, 12, k, np.dtype("<u4"), "nb")
     return wide.select(F.col("id").alias("src"), F.posexplode("nb").alias("rank", "dst")).where(F.col("dst") != NONE)
