@@ -181,7 +181,11 @@ def oracle() -> str:
         for dim in ALPHAS:
             sql.append(f"r{n + 1} AS MATERIALIZED (SELECT * REPLACE (w * {dim}_s / sum(w) OVER (PARTITION BY {dim}) AS w) FROM r{n})")
             n += 1
-    sql.append(f"z AS (SELECT source, lang, topic, (w / t) / max(w / t) OVER () AS rate FROM r{n})")
+    # The rate 1 goes to the largest w / t, or to the value at which LEAST of the tokens are kept with all larger ones cut at 1.
+    sql.append(f"b AS (SELECT t, w, w / t AS r, sum(t) OVER (ORDER BY w / t DESC) AS above, sum(w) OVER () - sum(w) OVER (ORDER BY w / t DESC) AS below, {LEAST} * sum(t) OVER () AS need FROM r{n} WHERE w > 0)")
+    sql.append("e AS (SELECT *, above + below / r < need * (1 - 1e-9) AS cut FROM b)")
+    sql.append("f AS MATERIALIZED (SELECT CASE WHEN bool_or(cut) THEN sum(w) FILTER (WHERE NOT cut) / (max(need) - sum(t) FILTER (WHERE cut)) ELSE max(r) END AS full_rate FROM e)")
+    sql.append(f"z AS (SELECT source, lang, topic, least(1.0, w / t / full_rate) AS rate FROM r{n}, f)")
     sql.append("j AS (SELECT k.*, coalesce(rate, 0) AS rate FROM k LEFT JOIN z ON k.source IS NOT DISTINCT FROM z.source AND k.lang IS NOT DISTINCT FROM z.lang AND k.topic = z.topic)")
     unit = "CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0"
     return "WITH " + ",\n".join(sql) + f"\nSELECT doc_id, source, lang, topic, n_tokens, round(rate, 6) AS rate, ({unit}) < rate AS sampled FROM j"

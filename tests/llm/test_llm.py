@@ -590,7 +590,13 @@ def test_mix_equals_its_sql_and_survives_a_stray_document(spark, docs):
     got = {r.doc_id: (r.rate, r.sampled) for r in mixing.mix(docs).collect()}
     assert got.keys() == want.keys() and all(got[i][1] == want[i][1] and abs(got[i][0] - want[i][0]) < 2e-6 for i in want)
     one = spark.createDataFrame([(10**6, "word", "en", "stray", 4)], DOCS)
-    out = mixing.mix(docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(one))
+    with_one = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(one)
+    out = mixing.mix(with_one).cache()
+    con.execute(f"create or replace view documents as select doc_id, text, lang, source from read_parquet('{SF}/documents.parquet') union all select 1000000, 'word', 'en', 'stray'")
+    bound = {r[0]: r[1:] for r in con.execute(f"select doc_id, rate, sampled from ({mixing.oracle()})").fetchall()}
+    got = {r.doc_id: (r.rate, r.sampled) for r in out.collect()}
+    assert got.keys() == bound.keys() and all(got[i][1] == bound[i][1] and abs(got[i][0] - bound[i][0]) < 2e-6 for i in bound)
+    assert bound[10**6][0] == 1.0
     assert out.agg(F.sum(F.col("rate") * F.col("n_tokens")) / F.sum("n_tokens")).first()[0] >= 0.24
 
 
