@@ -4,13 +4,16 @@ Every vector becomes a sparse integer vector, floor(scale * x) per component; a
 component is a term and its integer the weight. The queries are processed in
 blocks of at most ``queries_per_block`` rows, one after the other: a block is read,
 broadcast, answered into a table and dropped before the next. Each task walks its
-candidates in blocks, builds a postings list per term, and for each term scatters the products
-of query weights and postings into a dense (query x candidate) score array.
-Partition selection (argpartition with all ties of the k-th score kept) leaves k
-rows per query and task; those are merged by a ranking window.
+candidates in blocks, builds a postings list per term, and for each term adds the products
+of query weights and postings to a dense (query x candidate) score array: short lists are
+scattered, long ones are added to one tile of the array after the other, so that a tile
+stays in a core's cache while all its terms are added.
+Partition selection (with all ties of the k-th score, cut by id) leaves k rows per query
+and block, and only scores that reach the k-th best of the task so far are partitioned;
+the k rows per query and task are merged by a ranking window.
 
 Scale: candidates are never shuffled, only k rows per query and task are. Memory
-in a task is STEP * candidates_per_block * 8 bytes and k rows per query of a block.
+in a task is a few arrays of STEP * candidates_per_block scores and 3 k rows per query of a block.
 The number of passes over the candidates grows with the query set, what the driver
 and a task hold does not.
 
@@ -38,6 +41,12 @@ from nearmesh.llm.common import write_table
 
 #: Queries that are scored at once.
 STEP = 2048
+#: Scores that stay in a core's cache while all terms are added to them.
+TILE = 1 << 16
+#: A term with fewer than one in so many products that can differ from 0 is scattered along its postings.
+SCATTER = 16
+#: Selections of a task that wait to be merged, at most.
+WAITING = 64
 _OUT = "qn long, query_id long, vec_id long, score long"
 #: Below every score of finite doubles.
 _LOWEST = -(1 << 4000)
@@ -84,36 +93,62 @@ def _scores(queries: np.ndarray, cands: np.ndarray) -> np.ndarray:
 
 
 def _accumulate(queries: np.ndarray, cands: np.ndarray) -> np.ndarray:
-    """Scores (query x candidate) of longs, one term after the other."""
-    acc = np.zeros((len(queries), len(cands)), dtype=np.int64)
-    for term in range(min(queries.shape[1], cands.shape[1])):
-        posting = np.flatnonzero(cands[:, term])
-        asking = np.flatnonzero(queries[:, term])
-        if not len(posting) or not len(asking):
-            continue
-        products = queries[asking, term][:, None] * cands[posting, term][None, :]
-        if len(posting) == len(cands) and len(asking) == len(queries):
-            acc += products
-        else:
-            acc[np.ix_(asking, posting)] += products
+    """Scores (query x candidate) of longs, one term after the other; 32-bit integers where no sum can leave their range."""
+    terms = min(queries.shape[1], cands.shape[1])
+    most = terms * int(np.abs(queries).max(initial=0)) * int(np.abs(cands).max(initial=0))
+    kind = np.int32 if most < 1 << 31 else np.int64
+    asks, posts = (np.ascontiguousarray(m[:, :terms].T, dtype=kind) for m in (queries, cands))
+    acc = np.zeros((len(queries), len(cands)), dtype=kind)
+    long = []
+    for term in range(terms):
+        posting = np.flatnonzero(posts[term])
+        asking = np.flatnonzero(asks[term])
+        if SCATTER * len(posting) * len(asking) >= acc.size:
+            long.append(term)
+        elif len(posting) and len(asking):
+            acc[np.ix_(asking, posting)] += asks[term, asking, None] * posts[term, posting]
+    rows = max(1, TILE // max(1, len(cands)))
+    space = np.empty((min(rows, len(queries)), len(cands)), dtype=kind)
+    buffer = np.setbufsize(64)  # else numpy copies operands of rows shorter than its buffer
+    try:
+        for i in range(0, len(queries), rows):
+            tile = acc[i : i + rows]
+            products = space[: len(tile)]
+            for term in long:  # weights of 0 add nothing
+                np.multiply(asks[term, i : i + rows, None], posts[term], out=products)
+                tile += products
+    finally:
+        np.setbufsize(buffer)
     return acc
 
 
-def _select(qn, qid, acc, cid, k):
-    """k best of each row: higher score first, ties to the smaller id."""
-    lowest = _LOWEST if acc.dtype == object else np.iinfo(np.int64).min
-    acc[qid[:, None] == cid[None, :]] = lowest  # the query's own rows
-    if acc.shape[1] > k:
-        kth = np.partition(acc, acc.shape[1] - k, axis=1)[:, acc.shape[1] - k]
+def _select(qn, qid, acc, cid, k, floor):
+    """k best of each row among the scores that reach its floor; of equal ones those of smaller ids. qid and cid are sorted."""
+    lowest = _LOWEST if acc.dtype == object else np.iinfo(acc.dtype).min
+    begin, end = (np.searchsorted(qid, cid, side) for side in ("left", "right"))
+    for j in np.flatnonzero(begin < end):
+        acc[begin[j] : end[j], j] = lowest  # the query's own rows
+    if acc.dtype == object:
+        least = np.full(len(acc), lowest + 1, dtype=object)
     else:
-        kth = np.full(len(acc), lowest, dtype=acc.dtype)
-    row, col = np.nonzero((acc >= kth[:, None]) & (acc > lowest))
+        least = np.clip(floor, lowest + 1, np.iinfo(acc.dtype).max).astype(acc.dtype)
+    reach = acc >= least[:, None]
+    crowded = np.flatnonzero(np.count_nonzero(reach, axis=1) > k)
+    if len(crowded):
+        some = acc[crowded]
+        least[crowded] = np.partition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k]
+        reach[crowded] = some >= least[crowded, None]
+    at = np.flatnonzero(reach)
+    row, col = np.divmod(at, max(1, acc.shape[1]))
     score = acc[row, col]
-    order = np.lexsort((cid[col], -score, row))
-    row, col, score = row[order], col[order], score[order]
-    first = np.searchsorted(row, np.arange(len(acc)))
-    keep = np.arange(len(row)) - first[row] < k
-    return qn[row[keep]], qid[row[keep]], cid[col[keep]], score[keep]
+    above = score > least[row]
+    room = k - np.bincount(row[above], minlength=len(acc))
+    ties = np.flatnonzero(~above)
+    of = row[ties]
+    ties = ties[np.arange(len(of)) - np.searchsorted(of, of) < room[of]]
+    keep = np.concatenate((np.flatnonzero(above), ties))
+    row, col, score = row[keep], col[keep], score[keep]
+    return qn[row], qid[row], cid[col], score if score.dtype == object else score.astype(np.int64)
 
 
 def top_k(
@@ -153,17 +188,21 @@ def top_k(
 def _searcher(sent, k, scale, c_step):
     def run(batches):
         qid, dense = sent.value
-        qn, q_step = np.arange(len(qid)), STEP
-        kept: list[list[tuple]] = [[] for _ in range(0, len(qid), q_step)]
+        qn = np.arange(len(qid))
+        steps = [slice(i, i + STEP) for i in range(0, len(qid), STEP)]
+        kept: list[list[tuple]] = [[] for _ in steps]
+        floors = [np.full(len(qid[step]), np.iinfo(np.int64).min) for step in steps]
         for batch in batches:
             cid, cd = _weights(batch.column(0), batch.column(1), scale)
-            for i in range(0, len(qid), q_step):
-                best = kept[i // q_step]
+            order = np.argsort(cid, kind="stable")
+            cid, cd = cid[order], cd[order]
+            for step, best, floor in zip(steps, kept, floors):
                 for j in range(0, len(cid), c_step):
-                    acc = _scores(dense[i : i + q_step], cd[j : j + c_step])
-                    best.append(_select(qn[i : i + q_step], qid[i : i + q_step], acc, cid[j : j + c_step], k))
-                if len(best) > 8:
-                    best[:] = [_best(best, k)]
+                    acc = _scores(dense[step], cd[j : j + c_step])
+                    best.append(_select(qn[step], qid[step], acc, cid[j : j + c_step], k, floor))
+                    if len(best) == 1 or len(best) > WAITING or sum(len(part[0]) for part in best[1:]) >= k * len(floor):
+                        best[:] = [_best(best, k)]
+                        _raise(floor, qn[step], best[0], k)
         for best in kept:
             if best:
                 cols = _best(best, k)
@@ -174,6 +213,13 @@ def _searcher(sent, k, scale, c_step):
     return run
 
 
+def _raise(floor, qn, best, k):
+    """Set the floor of each query that has k rows to the score of its last one, as far as a long holds it."""
+    end = np.searchsorted(best[0], qn, "right")
+    full = end - np.searchsorted(best[0], qn) == k
+    floor[full] = np.clip(best[3][end[full] - 1], np.iinfo(np.int64).min, np.iinfo(np.int64).max)
+
+
 def _best(parts, k):
     """Merge selections: k best per query."""
     qn, qid, cid, score = (np.concatenate(x) for x in zip(*parts))
